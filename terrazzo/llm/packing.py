@@ -16,20 +16,19 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
 
-HELD = 300_000  # entries of each half of a worker's tables
+HELD = 400_000  # entries of each half of a worker's tables
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
 SLACK = 32  # a bin with fewer free tokens is nearly full
@@ -46,11 +45,12 @@ class _Recent:
         """The keys not held; the others are moved to the new half."""
         if len(self.new) > HELD:
             self.new, self.old = {}, self.new
-        absent = keys - self.new.keys()
-        if self.old:
-            back = absent & self.old.keys()
-            self.new.update((k, self.old[k]) for k in back)
-            absent -= back
+        new, old = self.new, self.old
+        absent = {k for k in keys if k not in new}
+        if old:
+            back = [k for k in absent if k in old]
+            new.update((k, old[k]) for k in back)
+            absent.difference_update(back)
         return absent
 
 
@@ -58,13 +58,16 @@ class WordEncoder:
     """Identifiers, as little-endian unsigned 32-bit bytes, of whole texts."""
 
     # Fixed: the pretokenizer pattern of the public vocabulary file.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+    # Words of these characters alone are lower-cased and cut here just as the library does it.
+    PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+").fullmatch
+    LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(self.PATTERN)
+        self.split = re.compile(self.PATTERN.replace("{L}", self.LETTERS).replace("{N}", self.DIGITS)).findall
         self.bare = Tokenizer(self.library.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
@@ -72,18 +75,11 @@ class WordEncoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words, self.pretokens = _Recent(), _Recent()
 
-    def _plain(self, word: str) -> bool:
-        """Whether lower-casing and cutting the word here gives what the library's normaliser gives."""
-        return "<|" not in word and (word.isascii() or (max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word) and not any(c.isspace() for c in word)))
-
     def _learn(self, words: set[str]) -> None:
         """Puts the identifiers of new words into the table."""
-        parts, odd = {}, []
-        for w in words:
-            if self._plain(w):
-                parts[w] = self.split.findall(w.lower())
-            else:
-                odd.append(w)
+        plain, cut_word = self.PLAIN, self.split
+        parts = {w: cut_word(w.lower()) for w in words if plain(w) and "<|" not in w}
+        odd = [w for w in words if w not in parts]
         if odd:
             for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
                 self.words.new[w] = np.array(e.ids, "<u4").tobytes()
