@@ -8,10 +8,13 @@ probability of their weighted Jaccard similarity, without bias. All windows of a
 to the time by which its registers fill; a text with a register left empty runs on to twice that.
 
 Texts with the same words fall together first, by a 128-bit key. One text of each then enters the
-bands. In a bucket all texts are compared with the least one, not with each other; texts already
-in its component need no comparison. Buckets in which different components remain go on with the
-next 2, 4, 8, ... texts as centres, until every pair in every bucket is either compared or joined
-by other links. Comparisons count the whole multisets. Components are then taken over all links.
+bands. Of the texts that share a bucket, those settle first that cannot have a link at all: a text
+whose windows known to other candidates are too few for the similarity leaves its buckets. In a
+bucket all texts are then compared with one centre, not with each other. Where different components
+remain, the texts outside a bucket's commonest component are compared with a few of that component,
+and at last with all texts of the bucket in other components, by rounds of so many for each bucket.
+So every pair in every bucket is compared, ruled out by the counts of shared windows, or joined by
+other links. Comparisons count the whole multisets. Components are taken over all links.
 
 Cases: null, empty and wordless texts and rows without an id are alone in their class; a text of
 fewer than five words is one window of all its words; rows that repeat an id form one document with
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import Joined, mix, owner, shingles, text_slices, utf8
-from .shared import stored
+from .shared import blocks_for, cut, exchange, pack_counts, partitions, stored, unpack_counts, with_block
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed with probability 3e-6
 WIDTH, SIMILARITY = 5, 0.8
+FEW, CENTRES = 8, 256  # texts of a bucket compared in the middle round, and in each last round
+PASSES = 3  # over the candidates, to settle texts without possible links
 
 
 def bags(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,63 +180,127 @@ def _verify(similarity: float):
     return run
 
 
+def _ask(shards: int):
+    """The distinct windows of a block, with the number of its texts that hold each."""
+
+    def request(table: pa.Table) -> pa.Table:
+        found = [bags(texts)[0] for _, texts in text_slices(table["text"])]
+        keys, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
+        bounds, block = cut(keys, shards), table["__block"][0].as_py()
+        rows = [(block, i, keys[x:y].tobytes(), pack_counts(n[x:y])) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:]))]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["__block", "shard", "keys", "n"])
+
+    return request
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """For each window that a block asked for, whether two texts or more hold it."""
+    keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
+    n = [unpack_counts(x, len(k)) for x, k in zip(table["n"].to_pylist(), keys)]
+    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(inverse, np.concatenate(n), len(unique)) > 1
+    parts = np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1])
+    return pa.table({"__block": table["__block"], "shard": table["shard"], "shared": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())})
+
+
+def _support(table: pa.Table, told: pa.Table) -> pa.Table:
+    """The windows of each text, and those of them that another text holds, with multiplicity."""
+    got = [bags(texts)[:3] for _, texts in text_slices(table["text"])]
+    keys = np.unique(np.concatenate([np.zeros(0, _U), *(w for w, _, _ in got)]))
+    told = told.sort_by("shard")
+    bounds = cut(keys, max(1, told.num_rows))
+    shared = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x, np.uint8), count=int(y - z)) for x, z, y in zip(told["shared"].to_pylist(), bounds[:-1], bounds[1:]))])
+    n, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for windows, count, first in got:
+        known = count * shared[np.searchsorted(keys, windows)]
+        for out, x in ((n, count), (held, known)):
+            sums = np.concatenate(([0], np.cumsum(x)))
+            out.append(sums[first[1:]] - sums[first[:-1]])
+    return pa.table({"rep": table["id"], "n": pa.array(np.concatenate(n), pa.int64()), "s": pa.array(np.concatenate(held).astype(np.int64), pa.int64())})
+
+
+def _open(state: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold more than one component."""
+    w = Window.partitionBy("key")
+    return state.withColumns({"__lo": F.min("comp").over(w), "__hi": F.max("comp").over(w)}).where("__lo < __hi").drop("__lo", "__hi")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the least id of its class), n_links and kept.
 
     n_links counts the verified links of the document's text to other texts; kept is true for the
     document that stands for its class.
     """
-    id_type = dict(docs.dtypes)[doc_id]
+    id_type, spark = dict(docs.dtypes)[doc_id], docs.sparkSession
     kept = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sketch = stored(kept.where("id is not null and text is not null").mapInArrow(_sketch, f"id {id_type}, k1 bigint, k2 bigint, windows bigint, bands array<bigint>").where("windows > 0"), "sketches")
+    given = kept.where("id is not null and text is not null")
+    sketch = stored(given.mapInArrow(_sketch, f"id {id_type}, k1 bigint, k2 bigint, windows bigint, bands array<bigint>").where("windows > 0"), "sketches")
     single = sketch.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
-    classes = sketch.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = sketch.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     rows = classes.select("rep", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("key").alias("__key"))
-    active = stored(rows.join(full, rows.key == full["__key"]).drop("__key"), "buckets")
-    texts = None
-    joined, compared, links = None, None, None
-    centres = 1
-    while True:
-        if joined is None:
-            state = active.withColumn("comp", F.col("rep"))
-        else:
-            state = active.join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), active.rep == F.col("__a"), "left").withColumn("comp", F.coalesce("__b", "rep")).drop("__a", "__b")
-            open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("__key"))
-            active = stored(state.join(open_, state.key == open_["__key"]).drop("__key"), "buckets")
-            if active.isEmpty():
-                break
-            state = active
-            active = active.drop("comp")
-        if centres == 1:
-            low = state.groupBy("key").agg(F.min_by("comp", "rep").alias("cc"), F.min("rep").alias("c"))
-        else:
-            low = state.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("n") <= centres).select("key", F.col("rep").alias("c"), F.col("comp").alias("cc"))
-        low = low.withColumnRenamed("key", "__key")
-        pairs = state.join(low, state.key == low["__key"]).where("rep <> c and comp <> cc").select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    buckets = stored(rows.join(full, rows.key == full["__key"]).drop("__key", "bands"), "buckets")
+    wanted = buckets.groupBy(F.col("rep").alias("__rep")).agg(F.sort_array(F.collect_list("key")).alias("bands"))  # 24 at most
+    texts = given.join(wanted, F.col("id") == F.col("__rep"), "left_semi")
+    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")  # an id that repeats stands once
+    def possible(s, n, m):
+        """Whether texts of n and m windows with at most s in common can be similar enough."""
+        return s >= similarity * (n + m - s) - 1e-9
+
+    w = Window.partitionBy("key")
+    least = F.greatest(F.col("__m"), F.col("s"), F.lit(similarity) * F.col("n"))  # windows that a partner has at least
+    bands = wanted.withColumnRenamed("__rep", "__id")
+    state, live = buckets, texts
+    for again in range(PASSES):  # what goes in one pass leaves others without company in the next
+        support = exchange(
+            with_block(live, blocks_for(live, "text"), "id"), _ask(partitions(spark)), "__block int, shard int, keys binary, n binary",
+            _tell, "__block int, shard int, shared binary", _support, f"rep {id_type}, n bigint, s bigint",
+        ).select(F.col("rep").alias("__rep"), "n", "s")
+        if again == PASSES - 1:
+            support = support.join(bands, F.col("__rep") == F.col("__id")).drop("__id")
+        state = state.select("rep", "key").join(support, F.col("rep") == F.col("__rep")).drop("__rep").withColumn("__m", F.min("n").over(w))
+        state = stored(_open(state.where(possible(F.col("s"), F.col("n"), least)).drop("__m").withColumn("comp", F.col("rep"))), "state")
+        live = texts.join(state.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi")
+    one, other = (texts.select(F.col("id").alias(f"__{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    joined = links = None
+    plan = [(1, None), (None, FEW)]  # one centre; all outside the commonest component with a few of it; then CENTRES at a time with all
+    while not state.isEmpty():
+        centres, partners = plan.pop(0) if plan else (CENTRES, None)
+        # Ranks within a bucket: the texts of its commonest component come last.
+        sized = state.withColumn("__c", F.count("*").over(Window.partitionBy("key", "comp"))).withColumn("__top", F.max(F.struct("__c", "comp")).over(w)["comp"])
+        sized = sized.withColumn("rare", F.col("comp") != F.col("__top")).drop("__c", "__top")
+        sized = sized.withColumn("rank", F.row_number().over(w.orderBy(*[F.col("rare").desc()] * (links is not None), F.xxhash64("rep", *["key"] * (partners is not None)))))
+        if partners is not None:
+            sized = sized.withColumn("last", F.count("*").over(w))
+        sized = stored(sized, "ranked")
+        low = sized.where("rare") if centres is None else sized.where(F.col("rank") <= centres) if links is None else sized.where((F.col("rank") <= centres) & F.col("rare"))
+        low = low.select(F.col("key").alias("__key"), F.col("rep").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("cn"), F.col("s").alias("cs"), F.col("bands").alias("cb"))
+        members = sized if partners is None else sized.where(~F.col("rare") & (F.col("rank") > F.col("last") - partners))
+        on = (members.key == low["__key"]) & (F.col("comp") != F.col("cc")) & possible(F.least("s", "cs"), F.col("n"), F.col("cn"))
+        if not plan and links is not None and partners is None:  # a pair in several buckets counts in the first
+            on = on & (F.element_at(F.array_intersect("bands", "cb"), 1) == members.key)
+        pairs = members.join(low, on).select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
         pairs = stored(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        if texts is None:  # whole texts of all that any bucket may compare
-            wanted = active.select(F.col("rep").alias("__rep")).distinct()
-            texts = kept.where("id is not null and text is not null").join(wanted, F.col("id") == F.col("__rep"), "left_semi")
-            texts = texts.groupBy("id").agg(F.min("text").alias("text")) if sketch.groupBy("id").count().where("count > 1").limit(1).count() else texts
-        one, other = (texts.select(F.col("id").alias(f"__{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         found = pairs.join(other, pairs.b == other["__b"]).drop("__b")
-        found = found.join(one, found.a == one["__a"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), f"a {id_type}, b {id_type}")
-        found = stored(found, "verified")
+        found = stored(found.join(one, found.a == one["__a"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify(similarity), f"a {id_type}, b {id_type}"), "verified")
         links = found if links is None else links.union(found)
+        done = not plan and partners is None and links is not found and sized.where(F.col("rare") & (F.col("rank") > centres)).isEmpty()
         joined = components(found if joined is None else joined.union(found))
-        # The centres of this round are compared with all of their buckets: they retire.
-        gone = low.select("__key", F.col("c").alias("__c"))
-        active = active.join(gone, (active.key == gone["__key"]) & (active.rep == gone["__c"]), "left_anti")
-        centres = min(64, centres * 2)
-    n_links = links.select(F.explode(F.array("a", "b")).alias("__l")).groupBy("__l").agg(F.count("*").alias("n"))
+        if done:
+            break
+        if partners is None:  # these centres are done with all of their buckets: they retire
+            gone = low.select("__key", "c")
+            state = state.join(gone, (state.key == gone["__key"]) & (state.rep == gone["c"]), "left_anti")
+        state = state.drop("comp").join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("rep") == F.col("__a"), "left").withColumn("comp", F.coalesce("__b", "rep")).drop("__a", "__b")
+        state = stored(_open(state), "state")
     by_key = classes.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "rep")
     member = single.join(by_key, (single.k1 == by_key["__k1"]) & (single.k2 == by_key["__k2"])).select(F.col("id").alias("__id"), "rep")
-    member = member.join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("rep") == F.col("__a"), "left").join(n_links, F.col("rep") == F.col("__l"), "left")
-    member = member.select("__id", F.coalesce("__b", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
+    if joined is None:
+        member = member.select("__id", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    else:
+        n_links = links.distinct().select(F.explode(F.array("a", "b")).alias("__l")).groupBy("__l").agg(F.count("*").alias("n"))
+        member = member.join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("rep") == F.col("__a"), "left").join(n_links, F.col("rep") == F.col("__l"), "left")
+        member = member.select("__id", F.coalesce("__b", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
     ids = kept.select("id")
     return ids.join(member, ids.id == member["__id"], "left").select(
         F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept")
