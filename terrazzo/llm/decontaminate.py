@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import codes, word_table
-from .scan import SLICE, prefix, span_hash
+from .scan import SLICE, prefix, release, span_hash
 
 _U = np.uint64
 Q = 12
@@ -198,6 +198,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     for index in _indexes(benchmark, item_text, item_id, block):
 
         def run(batches, index=index):
+            release()
             for batch in batches:
                 rows = []
                 for at, part in _parts([t or "" for t in batch.column(1).to_pylist()]):
@@ -216,6 +217,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for index in _indexes(benchmark, item_text, item_id, block):
 
         def run(batches, index=index):
+            release()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for at, part in _parts([t or "" for t in batch.column(source).to_pylist()]):

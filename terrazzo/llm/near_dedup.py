@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scan import Joined, mix, owner, shingles, text_slices, utf8
+from .scan import Joined, mix, owner, release, shingles, text_slices, utf8
 from .shared import blocks_for, cut, exchange, pack_counts, partitions, stored, unpack_counts, with_block
 
 _U = np.uint64
@@ -158,6 +158,7 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verify(similarity: float):
     def run(batches):
+        release()
         held: dict[bytes, tuple] = {}
 
         def bag(text: bytes):

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import register_cache
 from .shared import stored
 
 HELD = 400_000  # entries of each half of a worker's tables
@@ -112,6 +113,16 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _forget() -> bool:
+    held = any(e.words.new for e in _encoders.values())
+    for e in _encoders.values():
+        e.words, e.pretokens = _Recent(), _Recent()
+    return held
+
+
+register_cache(_forget)
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)

@@ -6,6 +6,7 @@ A hash of a span depends only on its bytes, never on the process, so tasks agree
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -142,8 +143,33 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+_holders: list = []
+
+
+def register_cache(clear) -> None:
+    """A worker outlives its tasks; `clear` empties a table that only one operator's tasks need."""
+    _holders.append(clear)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def release() -> None:
+    """Empties the tables that another operator left in this worker."""
+    if any([clear() for clear in _holders]):
+        trim()
+
+
 def text_slices(column, limit: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) for consecutive slices of an Arrow string column."""
+    release()
     texts = utf8(column)
     for a, b in slices(texts, limit):
         yield a, texts[a:b]
+    del texts
+    trim()

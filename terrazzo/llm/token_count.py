@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .scan import register_cache
+
 HELD = 400_000  # pieces remembered by a worker
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the public byte-level pretokenizer pattern
 
@@ -126,6 +128,17 @@ class _Held(dict):
 _counters: dict[str, MergeCounter] = {}
 
 
+def _forget() -> bool:
+    held = any(c.pieces for c in _counters.values())
+    for c in _counters.values():
+        c.pieces.clear()
+        c.words.clear()
+    return held
+
+
+register_cache(_forget)
+
+
 def counter(path: str) -> MergeCounter:
     """The worker's counter for a file."""
     if path not in _counters:
