@@ -431,7 +431,7 @@ def _wkb_rects(spark, sf_dir) -> DataFrame:
     return rects(spark, sf_dir).withColumn("r", ring).withColumn("geometry", from_geojson(text)).drop("r")
 
 
-@register("wkb_roundtrip", f"SELECT s_suppkey, 'Polygon' AS geom_type, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax, round((xmin + xmax)/2, 6) AS cx, round((ymin + ymax)/2, 6) AS cy FROM ({SUPPLIER}) s")
+@register("wkb_roundtrip", f"SELECT s_suppkey, 'Polygon' AS geom_type, round(least(xmin, xmax), 6) AS xmin, round(least(ymin, ymax), 6) AS ymin, round(greatest(xmin, xmax), 6) AS xmax, round(greatest(ymin, ymax), 6) AS ymax, round((xmin + xmax)/2, 6) AS cx, round((ymin + ymax)/2, 6) AS cy FROM ({SUPPLIER}) s")
 def wkb_roundtrip(spark, sf_dir):
     from terrazzo.functions.udfs import from_geojson, to_geojson, with_geometry_columns
 
