@@ -155,9 +155,11 @@ class PassageIndex:
             own = c[first[text] : first[text + 1]]
             k, p = int(self.k[passage]), self.passages[passage]
             low, high = band * (k + 1), (band + 2) * (k + 1) - 1
-            if last and last[:2] == (text, passage) and low < last[2]:
-                continue  # the neighbouring band has found this occurrence
-            a, b = max(0, low - k), min(len(own), high + len(p) + k)
+            done = last[2] if last and last[:2] == (text, passage) else 0
+            low = max(low, done)  # a start further left is the neighbouring band's occurrence
+            if low > high:
+                continue
+            a, b = max(0, low - k, done), min(len(own), high + len(p) + k)
             where = own[a:b].tobytes().find(p.tobytes())
             while where >= 0 and where % 4:
                 where = own[a:b].tobytes().find(p.tobytes(), where + 1)

@@ -180,6 +180,9 @@ def test_edited_passages_are_found():
             edited[at : at + 1] = random.choice(["", "q", edited[at] + "z"])
         assert [h[1] for h in index.search(["unrelated words before " * 9 + "".join(edited) + " and words after it " * 9])] == [0]
     assert not list(index.search(["the quick brown fox jumps over the lazy dog " * 3]))
+    for pad in range(40):  # repeats without a gap, at every place in a band
+        found = [h[2:] for h in index.search(["z" * pad + " " + " ".join([passage] * 3) + " tail"])]
+        assert found == [(pad + 1 + i * (len(passage) + 1), pad + 1 + i * (len(passage) + 1) + len(passage), 0) for i in range(3)]
 
 
 def check_packing(result, texts, capacity=4096):
