@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .perfecthash import PerfectHash
 from .scan import Joined, mix, owner, text_slices
-from .shared import blocks_for, cut, exchange, pack_counts, partitions, unpack_counts, with_block
+from .shared import blocks_for, cut, exchange, pack_counts, pack_keys, partitions, unpack_counts, unpack_keys, with_block
 
 _U = np.uint64
 _SATURATED = 2**16 - 1
@@ -63,7 +63,7 @@ def _requests(text: str, doc_id: str, min_chars: int, shards: int):
         counts = np.add.reduceat((d != _NO_ID).astype(np.int64), head) if len(h) else np.zeros(0, np.int64)
         largest = d[np.append(head[1:], len(h)) - 1] if len(h) else d
         keys, bounds, block = h[head], cut(h[head], shards), table["__block"][0].as_py()
-        rows = [(block, s, keys[a:b].tobytes(), pack_counts(counts[a:b]), largest[a:b].tobytes()) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+        rows = [(block, s, pack_keys(keys[a:b]), pack_counts(counts[a:b]), largest[a:b].tobytes()) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["__block", "shard", "keys", "docs", "largest"])
 
     return request
@@ -103,7 +103,7 @@ class LineShard:
 def _answers(min_docs: int):
     def answer(table: pa.Table) -> pa.Table:
         blocks = table["__block"].to_pylist()
-        keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
+        keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
         docs = [unpack_counts(x, len(k)) for x, k in zip(table["docs"].to_pylist(), keys)]
         largest = [np.frombuffer(x, np.int64) for x in table["largest"].to_pylist()]
         shard = LineShard(np.concatenate(keys), np.concatenate(docs), np.concatenate(largest))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import Joined, mix, owner, text_slices
-from .shared import blocks_for, cut, exchange, pack_counts, partitions, remainder, stored, unpack_counts, with_block
+from .shared import blocks_for, cut, exchange, pack_counts, pack_keys, partitions, remainder, stored, unpack_counts, unpack_keys, with_block
 
 _U = np.uint64
 _END = _U(0x1E0F3A5C7B9D2468)  # no word: the end of a text
@@ -61,7 +61,7 @@ def _request(text: str, train: str, shards: int):
             keys, inverse = np.unique(h, return_inverse=True)
             counts, bounds = np.bincount(inverse[learn], minlength=len(keys)), cut(keys, shards)
             for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                rows[s] += [keys[a:b].tobytes(), pack_counts(counts[a:b])]
+                rows[s] += [pack_keys(keys[a:b]), pack_counts(counts[a:b])]
         return pa.table({"__block": pa.array([block] * shards, pa.int32()), "shard": pa.array(range(shards), pa.int32()), **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("keys1", "n1", "keys2", "n2"))}})
 
     return request
@@ -71,7 +71,7 @@ def _answer(table: pa.Table) -> pa.Table:
     shard = table["shard"][0].as_py()
     made, total, distinct = {}, 0, 0
     for kind in ("1", "2"):
-        keys = [np.frombuffer(x, _U) for x in table["keys" + kind].to_pylist()]
+        keys = [unpack_keys(x) for x in table["keys" + kind].to_pylist()]
         counts = [unpack_counts(x, len(k)) for x, k in zip(table["n" + kind].to_pylist(), keys)]
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         every = np.bincount(inverse, np.concatenate(counts), len(unique)).astype(np.int64)

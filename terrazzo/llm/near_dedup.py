@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import Joined, mix, owner, release, shingles, text_slices, utf8
-from .shared import blocks_for, cut, exchange, pack_counts, partitions, stored, unpack_counts, with_block
+from .shared import blocks_for, cut, exchange, pack_counts, pack_keys, partitions, stored, unpack_counts, unpack_keys, with_block
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed with probability 3e-6
@@ -188,7 +188,7 @@ def _ask(shards: int):
         found = [bags(texts)[0] for _, texts in text_slices(table["text"])]
         keys, n = np.unique(np.concatenate([np.zeros(0, _U), *found]), return_counts=True)
         bounds, block = cut(keys, shards), table["__block"][0].as_py()
-        rows = [(block, i, keys[x:y].tobytes(), pack_counts(n[x:y])) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:]))]
+        rows = [(block, i, pack_keys(keys[x:y]), pack_counts(n[x:y])) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:]))]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["__block", "shard", "keys", "n"])
 
     return request
@@ -196,7 +196,7 @@ def _ask(shards: int):
 
 def _tell(table: pa.Table) -> pa.Table:
     """For each window that a block asked for, whether two texts or more hold it."""
-    keys = [np.frombuffer(x, _U) for x in table["keys"].to_pylist()]
+    keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
     n = [unpack_counts(x, len(k)) for x, k in zip(table["n"].to_pylist(), keys)]
     unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     shared = np.bincount(inverse, np.concatenate(n), len(unique)) > 1

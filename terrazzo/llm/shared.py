@@ -78,6 +78,17 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as gaps, like bytes together: the high bytes are zeros, which compress."""
+    gaps = np.diff(keys, prepend=_U(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=_U)
+
+
 def exchange(
     docs: DataFrame,
     request: Callable,

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from terrazzo.llm import decontaminate, html_text, language, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, token_count
 from terrazzo.llm.components import components
 from terrazzo.llm.perfecthash import PerfectHash
+from terrazzo.llm.shared import pack_keys, unpack_keys
 from tests.oracle import canonical, rows
 
 SF = "/root/testdata/sf0.001"
@@ -285,6 +286,14 @@ def test_line_dedup(spark, odd, empty):
     assert (by[0]["text"], by[0]["n_lines"]) == ("", 1) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_packed_keys_round_trip():
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(near_dedup.mix(np.arange(n, dtype=np.uint64)))
+        assert (unpack_keys(pack_keys(keys)) == keys).all()
+    edge = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    assert (unpack_keys(pack_keys(edge)) == edge).all()
+
+
 def test_perfect_hash():
     keys = np.unique(near_dedup.mix(np.arange(20_000, dtype=np.uint64)))
     h = PerfectHash(keys)
