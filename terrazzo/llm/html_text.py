@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides each block alone: many link
 characters or a copyright line make it boilerplate; length and the density of stop words make it
-text; short or middling blocks stay open. In the second pass an open block takes the label of its
-nearest decided neighbours. Elements that are never article text (menus, footers, forms, scripts,
+text; short or middling blocks stay open, but on a page without a sure block the middling ones are
+text. In the second pass an open block takes the label of its nearest decided neighbours; the page's
+edges are none. Only a short block in a bare container nearer to the page's start than to the first
+decided block, whose element is another, is left out like a menu. Elements that are never article text (menus, footers, forms, scripts,
 and whatever a class or role calls an advert, notice, sidebar or comment) are left out before. On
 a page with an article or main element only its blocks count, and inside it a block without stop
 words or of a few words is open, not boilerplate; open blocks there are text where nothing speaks
@@ -30,6 +32,7 @@ INLINE = frozenset((
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "meter", "nobr", "output", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "link", "meta", "input", "area", "source", "track", "embed", "param", "base", "col", "center",
 ))
+CONTAINERS = frozenset(("div", "section", "table", "tbody", "tr", "td", "th"))
 VOID = frozenset(("br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "param", "source", "track", "wbr"))
 # Fixed: words of class and id attributes, and roles, that mark what is not the article.
 NOISE = frozenset((
@@ -81,10 +84,10 @@ def _noise(tag: str, attrs: str, in_main: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "links", "main", "label")
+    __slots__ = ("text", "links", "main", "tag", "label")
 
-    def __init__(self, text: str, links: int, main: bool):
-        self.text, self.links, self.main, self.label = text, links, main, ""
+    def __init__(self, text: str, links: int, main: bool, tag: str):
+        self.text, self.links, self.main, self.tag, self.label = text, links, main, tag, ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -101,7 +104,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, linked, mains > 0))
+                out.append(Block(text, linked, mains > 0, next((t for t, _ in reversed(stack) if t not in INLINE), "")))
             pieces.clear()
         linked = breaks = 0
 
@@ -192,26 +195,34 @@ def extract(page: str) -> str:
     found = blocks(page)
     if any(b.main for b in found):
         found = [b for b in found if b.main]
-    edge = "good" if found and found[0].main else "bad"
     for b in found:
         b.label = decide(b)
-    after, nearest = [], (edge, 0)
+    if not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = "good" if b.label == "near" else b.label
+    edge = ("good", None) if found and found[0].main else None
+    after, nearest = [], edge
     for i in range(len(found) - 1, -1, -1):
         after.append(nearest)
         if found[i].label in ("good", "bad"):
             nearest = (found[i].label, i)
     after.reverse()
-    before, keep = (edge, -1), []
+    before, keep = edge, []
     for i, b in enumerate(found):
-        label = b.label
+        label, then = b.label, after[i]
         if label in ("good", "bad"):
             before = (label, i)
-        elif before[0] == after[i][0]:
-            label = before[0]
-        elif label == "near" or b.main:
-            label = "good"
-        else:
-            label = before[0] if i - before[1] <= after[i][1] - i else after[i][0]
+        elif before and then:
+            if before[0] == then[0]:
+                label = before[0]
+            elif label == "near" or b.main:
+                label = "good"
+            else:
+                label = before[0] if i - before[1] <= then[1] - i else then[0]
+        elif then and label == "short" and b.tag in CONTAINERS and b.tag != found[then[1]].tag and i < then[1] - i:
+            label = "bad"
+        elif before or then:
+            label = (before or then)[0]
         if label == "good":
             keep.append(b.text)
     return "\n\n".join(keep)

@@ -150,6 +150,17 @@ def test_html(spark):
     assert html_text.extract_pages(table.limit(0)).count() == 0 and html_text.query(spark, SF).where("n_chars > 0").count() > 0
 
 
+def test_html_edges_of_a_page_are_not_boilerplate():
+    long = "The story of the town and its people is told in the book that was found by the river in the spring of that year. " * 3
+    long = long.strip()
+    assert html_text.extract(f"<body><h1>Title</h1><p>{long}</p><p>Short end.</p><p>By the editor</p></body>").split("\n\n") == ["Title", long, "Short end.", "By the editor"]
+    assert html_text.extract(f"<div>Title</div><div>{long}</div><div>End.</div>").split("\n\n") == ["Title", long, "End."]
+    assert html_text.extract(f"<h1>Title</h1><h2>Subtitle</h2><p>By A. B.</p><p>{long}</p><p>End.</p><p><a href=a>More links here</a></p><p>Legal</p>").split("\n\n") == ["Title", "Subtitle", "By A. B.", long, "End."]
+    middling = long[:117].strip()
+    assert html_text.extract(f"<h1>Title</h1><p>{middling}</p><p>End.</p>").split("\n\n") == ["Title", middling, "End."]
+    assert html_text.extract("<p>Home</p><p>Contact</p>") == ""
+
+
 def test_decontamination(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda s: " " + re.sub(r"[\W_]+", " ", (s or "").lower()).strip() + " "
