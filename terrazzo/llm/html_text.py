@@ -3,13 +3,15 @@
 A page is cut into blocks at block-level tags. The first pass decides each block alone: many link
 characters or a copyright line make it boilerplate; length and the density of stop words make it
 text; short or middling blocks stay open, but on a page without a sure block the middling ones are
-text. In the second pass an open block takes the label of its nearest decided neighbours; the page's
-edges are none. Only a short block in a bare container nearer to the page's start than to the first
-decided block, whose element is another, is left out like a menu. Elements that are never article text (menus, footers, forms, scripts,
-and whatever a class or role calls an advert, notice, sidebar or comment) are left out before. On
-a page with an article or main element only its blocks count, and inside it a block without stop
-words or of a few words is open, not boilerplate; open blocks there are text where nothing speaks
-against it.
+text. Length alone decides blocks of a script without stop words here, and those without stop words
+on a page of another language (its words together, and its long blocks each, are below the density).
+In the second pass an open block takes the label of its nearest decided neighbours; the page's edges
+are none. Only a short block in a bare container nearer to the page's start than to the first decided
+block, whose element is another, is left out like a menu. Elements that are never article text
+(menus, footers, forms, scripts, and whatever a class or role calls an advert, notice, sidebar or
+comment) are left out before. On a page with an article or main element only its blocks count, and
+inside it a block without stop words or of a few words is open, not boilerplate; open blocks there
+are text where nothing speaks against it.
 
 Cases: a null or empty page, and one without text, gives an empty text; unclosed and stray tags,
 quotes and comments end where a browser ends them, or with the page; rows are independent; an
@@ -59,6 +61,8 @@ _TOKEN = re.compile(
 )
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_WIDE = re.compile("[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\U00020000-\U0003fffd]")
+_FOREIGN = re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]")  # letters that are not Latin
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -84,10 +88,11 @@ def _noise(tag: str, attrs: str, in_main: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "links", "main", "tag", "label")
+    __slots__ = ("text", "links", "main", "tag", "label", "words", "stops")
 
     def __init__(self, text: str, links: int, main: bool, tag: str):
         self.text, self.links, self.main, self.tag, self.label = text, links, main, tag, ""
+        self.words = self.stops = 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -172,22 +177,43 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def columns(text: str) -> int:
+    """Length with wide characters (Chinese, Japanese, Korean) as two."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def foreign(text: str) -> bool:
+    """Whether most letters are of scripts without stop words here."""
+    return not text.isascii() and 2 * len(_FOREIGN.findall(text)) > sum(map(str.isalpha, text))
+
+
+def by_length(n: int) -> str:
+    """The label of a block of few links where stop words cannot speak."""
+    return "good" if n > LONG else "near"
+
+
 def decide(block: Block) -> str:
-    """First pass: good, bad, near (probably text) or short."""
+    """First pass: good, bad, near (probably text), short, or bare (long, of few links, without stop words)."""
     n = len(block.text)
     if block.links > LINKS * n:
         return "bad"
     if not block.main and (block.text.startswith("©") or (n < LONG and "©" in block.text)):
         return "bad"
+    if not block.main:
+        n = columns(block.text)
     if n < SHORT:
         return "short" if block.main or not block.links else "bad"
     words = [w.lower() for w in _WORD.findall(block.text)]
-    density = sum(w in STOPWORDS for w in words) / max(1, len(words))
+    stops = sum(w in STOPWORDS for w in words)
+    density = stops / max(1, len(words))
+    if not block.main and density < FEW_STOPS and foreign(block.text):
+        return by_length(n)
+    block.words, block.stops = len(words), stops
     if density >= MANY_STOPS:
         return "good" if n > LONG or block.main else "near"
     if density >= FEW_STOPS:
         return "near"
-    return "near" if block.main else "bad"
+    return "near" if block.main else "bare"
 
 
 def extract(page: str) -> str:
@@ -197,6 +223,11 @@ def extract(page: str) -> str:
         found = [b for b in found if b.main]
     for b in found:
         b.label = decide(b)
+    words, stops = sum(b.words for b in found), sum(b.stops for b in found)
+    covered = stops and (stops >= FEW_STOPS * words or any(b.label == "good" and b.stops for b in found))
+    for b in found:
+        if b.label == "bare":
+            b.label = "bad" if covered else by_length(columns(b.text))
     if not any(b.label == "good" for b in found):
         for b in found:
             b.label = "good" if b.label == "near" else b.label

@@ -161,6 +161,24 @@ def test_html_edges_of_a_page_are_not_boilerplate():
     assert html_text.extract("<p>Home</p><p>Contact</p>") == ""
 
 
+def test_html_of_languages_without_stop_words():
+    texts = {
+        "ru": "Город стоял на берегу широкой реки, и каждую весну вода поднималась почти до самых домов, так что жители перебирались наверх. " * 2,
+        "pl": "Miasto stało nad brzegiem szerokiej rzeki i każdej wiosny woda podnosiła się prawie po same progi, więc mieszkańcy przenosili się wyżej. " * 2,
+        "el": "Η πόλη βρισκόταν στην όχθη του μεγάλου ποταμού και κάθε άνοιξη το νερό ανέβαινε σχεδόν μέχρι τα σπίτια των κατοίκων. " * 2,
+        "zh": "这座小城坐落在宽阔的河岸边，每年春天河水都会上涨，几乎淹到居民的家门口，所以人们总是提前搬到高处去住，等到夏天再回来。" * 2,
+    }
+    for text in texts.values():
+        text = text.strip()
+        half = text[: len(text) // 2].strip()
+        page = f"<h1>{half[:9]}</h1><p>{text}</p><p>{half[:12].strip()}</p><p>{half}</p><p><a href=a>{half}</a></p>"
+        assert html_text.extract(page).split("\n\n") == [half[:9].strip(), text, half[:12].strip(), half]
+        assert html_text.extract(f"<p>{half}</p>") == half
+    english = "The story of the town and its people is told in the book that was found by the river in the spring of that year. " * 3
+    words = "Sensor battery charger adapter keyboard monitor printer scanner cable router switch speaker headset camera tripod lens filter. " * 2
+    assert html_text.extract(f"<p>{english}</p><p>{words}</p><p>{texts['ru']}</p>").split("\n\n") == [english.strip(), texts["ru"].strip()]
+
+
 def test_decontamination(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda s: " " + re.sub(r"[\W_]+", " ", (s or "").lower()).strip() + " "
