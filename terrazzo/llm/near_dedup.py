@@ -141,9 +141,9 @@ def _sketch(batches):
             windows, n, sizes, rows = (np.concatenate(x) for x in zip(*small))
             bands[rows] = band_keys(signatures(windows, n, np.concatenate(([0], np.cumsum(sizes)))))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.array(total),
+            batch.column(0), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), batch.column(2), pa.array(total),
             pa.array([x.tolist() for x in bands.view(np.int64)], pa.list_(pa.int64())),
-        ], names=["id", "k1", "k2", "windows", "bands"])
+        ], names=["id", "k1", "k2", "t", "windows", "bands"])
 
 
 def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
@@ -235,15 +235,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     id_type, spark = dict(docs.dtypes)[doc_id], docs.sparkSession
     kept = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     given = kept.where("id is not null and text is not null")
-    sketch = stored(given.mapInArrow(_sketch, f"id {id_type}, k1 bigint, k2 bigint, windows bigint, bands array<bigint>").where("windows > 0"), "sketches")
-    single = sketch.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
+    sketch = given.withColumn("t", F.xxhash64("text")).mapInArrow(_sketch, f"id {id_type}, k1 bigint, k2 bigint, t bigint, windows bigint, bands array<bigint>").where("windows > 0")
+    least = sketch.groupBy("id").agg(F.min(F.struct("k1", "k2", "t", "bands")).alias("k"), F.count("*").alias("rows"))  # an id that repeats stands once, with one of its texts
+    sketch = stored(least.select("id", "k.k1", "k.k2", "k.t", "k.bands", "rows"), "sketches")
+    single = sketch.select("id", "k1", "k2")
+    repeats = sketch.where("rows > 1").select(F.col("id").alias("__id"), F.col("t").alias("__t"))
     classes = sketch.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     rows = classes.select("rep", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("key").alias("__key"))
     buckets = stored(rows.join(full, rows.key == full["__key"]).drop("__key", "bands"), "buckets")
     wanted = buckets.groupBy(F.col("rep").alias("__rep")).agg(F.sort_array(F.collect_list("key")).alias("bands"))  # 24 at most
     texts = given.join(wanted, F.col("id") == F.col("__rep"), "left_semi")
-    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")  # an id that repeats stands once
+    texts = texts.join(repeats, F.col("id") == F.col("__id"), "left").where(F.col("__t").isNull() | (F.xxhash64("text") == F.col("__t")))
+    texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")
+
     def possible(s, n, m):
         """Whether texts of n and m windows with at most s in common can be similar enough."""
         return s >= similarity * (n + m - s) - 1e-9

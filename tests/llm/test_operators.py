@@ -124,6 +124,20 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(table)
 
 
+def test_near_duplicates_of_ids_that_repeat_with_other_texts(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef"]
+    keys = near_dedup.bags([t.encode() for t in texts])[3].view(np.int64).tolist()
+    for least, other in (sorted(x, key=lambda t: keys[texts.index(t)]) for x in (texts[:2], texts[2:4], texts[4:])):
+        near = other.replace("30", "x", 1)
+        # 5 stands with its text of the least key; 8 and its near copy 10 with the other one, 9 with none
+        table = [(5, other), (5, least), (3, least), (8, other), (10, near), (9, "alone in its class"), (1, other), (1, least), (2, least.replace("30", "x", 1))]
+        for given in (table, table[:6]):
+            got = near_dedup.near_duplicates(spark.createDataFrame(given, "doc_id bigint, text string")).collect()
+            assert len(got) == len(given)
+            assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(list({i: t for i, t in given if i not in (1, 5) or t == least}.items()))
+            assert {r["doc_id"] for r in got if r["kept"]} == {8, 9, 1 if len(given) > 6 else 3}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 90), (7, 7), (95, 100)]
     got = {r["a"]: r["b"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
