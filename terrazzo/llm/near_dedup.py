@@ -227,10 +227,11 @@ def _open(state: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the least id of its class), n_links and kept.
+    """One row for each row of docs: doc_id, class_id (the least id of its class), n_compared_links and kept.
 
-    n_links counts the verified links of the document's text to other texts; kept is true for the
-    document that stands for its class.
+    n_compared_links counts the links found between the document's text and those it was compared with;
+    it is no degree, as most pairs of a class are not compared. kept is true for the document that stands
+    for its class.
     """
     id_type, spark = dict(docs.dtypes)[doc_id], docs.sparkSession
     kept = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -302,14 +303,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     by_key = classes.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "rep")
     member = single.join(by_key, (single.k1 == by_key["__k1"]) & (single.k2 == by_key["__k2"])).select(F.col("id").alias("__id"), "rep")
     if joined is None:
-        member = member.select("__id", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+        member = member.select("__id", F.col("rep").alias("class_id"), F.lit(0).cast("bigint").alias("n_compared_links"))
     else:
-        n_links = links.distinct().select(F.explode(F.array("a", "b")).alias("__l")).groupBy("__l").agg(F.count("*").alias("n"))
-        member = member.join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("rep") == F.col("__a"), "left").join(n_links, F.col("rep") == F.col("__l"), "left")
-        member = member.select("__id", F.coalesce("__b", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
+        n_compared_links = links.distinct().select(F.explode(F.array("a", "b")).alias("__l")).groupBy("__l").agg(F.count("*").alias("n"))
+        member = member.join(joined.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("rep") == F.col("__a"), "left").join(n_compared_links, F.col("rep") == F.col("__l"), "left")
+        member = member.select("__id", F.coalesce("__b", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_compared_links"))
     ids = kept.select("id")
     return ids.join(member, ids.id == member["__id"], "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept")
+        F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_compared_links", F.lit(0)).alias("n_compared_links"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept")
     )
 
 

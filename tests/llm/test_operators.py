@@ -124,6 +124,10 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(table)
 
 
+def test_near_duplicates_name_what_they_count(spark, empty):
+    assert near_dedup.near_duplicates(empty).columns == ["doc_id", "class_id", "n_compared_links", "kept"]
+
+
 def test_near_duplicates_of_ids_that_repeat_with_other_texts(spark):
     texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef"]
     keys = near_dedup.bags([t.encode() for t in texts])[3].view(np.int64).tolist()
