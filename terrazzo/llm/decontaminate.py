@@ -3,8 +3,9 @@
 Texts become lower-case letters and digits with single spaces between. A passage of length n with
 at most k edits shares n - q + 1 - k q of its q-grams with the place it occurs at, all within k
 diagonals of each other. Shared q-grams are therefore counted in diagonal bands of 2 (k + 1), each
-overlapping the next by half; bands that reach the bound are verified by a banded alignment of
-the whole passage, its ends free in the text. k is 7 % of the length, less where the bound would
+overlapping the next by half; bands that reach the bound, and lack no q-grams so apart that they need
+more edits, are verified by a banded alignment of
+the whole passage, its ends free in the text. k is 12 % of the length, less where the bound would
 vanish; a passage shorter than q is sought exactly.
 
 The passages are indexed in blocks of bounded size; every block goes over all documents once, so
@@ -28,8 +29,9 @@ from .codepoints import codes, word_table
 from .scan import SLICE, prefix, release, span_hash
 
 _U = np.uint64
-Q = 12
-EDITS = 0.07  # of a passage's length
+Q = 7
+EDITS = 0.12  # of a passage's length
+HITS = 2_000_000  # shared q-grams handled at a time; a text with more goes alone
 BLOCK = 2_000_000  # characters of passages indexed at a time
 
 
@@ -83,6 +85,23 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return (int(cost[j]), int(start[j]), min(len(text), j + base + len(passage))) if cost[j] <= k else None
 
 
+def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
+    start = np.arange(max(0, len(c) - q + 1))
+    return span_hash(prefix(c), start, start + q)
+
+
+def least_edits(grams: np.ndarray, region: np.ndarray, q: int, k: int) -> int:
+    """A lower bound, up to k + 1, of the edits that leave the passage with these q-grams in the region.
+
+    Every q-gram that the region lacks holds an edit, and an edit lies in q successive q-grams at most.
+    """
+    lacks = (~np.isin(grams, gram_hashes(region, q))).tobytes()
+    edits, at = 0, lacks.find(1)
+    while at >= 0 and edits <= k:
+        edits, at = edits + 1, lacks.find(1, at + q)
+    return edits
+
+
 class PassageIndex:
     """The q-grams of a block of passages."""
 
@@ -119,6 +138,10 @@ class PassageIndex:
             self.tables[q] = (h[order], item[order], offset[order], marks, bits)
         self.k, self.need = (np.array(x, np.int64) for x in zip(*(budget(len(p), min(Q, len(p))) for p in self.passages))) if self.passages else (np.zeros(0, np.int64),) * 2
 
+    def grams(self, passage: int) -> np.ndarray:
+        p = self.passages[passage]
+        return gram_hashes(p, min(Q, len(p)))
+
     def candidates(self, c: np.ndarray, first: np.ndarray):
         """(text, passage, band) of all bands that reach the bound; first has the starts of texts in c."""
         sums = prefix(c)
@@ -132,19 +155,37 @@ class PassageIndex:
             near, n, lo = near[hi > lo], (hi - lo)[hi > lo], lo[hi > lo]
             if not len(near):
                 continue
-            which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            pos, passage = np.repeat(near, n), item[which]
-            text = np.searchsorted(first, pos, "right") - 1
-            inside = pos + q <= first[text + 1]
-            pos, passage, text, diagonal = pos[inside], passage[inside], text[inside], (pos - first[text] - offset[which])[inside]
-            band = np.floor_divide(diagonal, self.k[passage] + 1)
-            text, passage, band = np.tile(text, 2), np.tile(passage, 2), np.concatenate((band, band - 1))
-            order = np.lexsort((band, passage, text))
-            text, passage, band = text[order], passage[order], band[order]
-            head = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (passage[1:] != passage[:-1]) | (band[1:] != band[:-1]))))
-            count = np.diff(np.append(head, len(text)))
-            enough = head[count >= self.need[passage[head]]]
-            yield from zip(text[enough].tolist(), passage[enough].tolist(), band[enough].tolist())
+            text = np.searchsorted(first, near, "right") - 1
+            # The hits of some whole texts at a time: common q-grams stand in many passages.
+            ends = np.flatnonzero(np.diff(text, append=-1)) + 1
+            sums_n = np.cumsum(n)
+            x = 0
+            while x < len(near):
+                limit = np.searchsorted(sums_n[ends - 1], (sums_n[x - 1] if x else 0) + HITS, "right")
+                y = int(ends[max(limit - 1, np.searchsorted(ends, x, "right"))])
+                yield from self._bands(near[x:y], n[x:y], lo[x:y], text[x:y], first, item, offset, q)
+                x = y
+
+    def _bands(self, near, n, lo, text, first, item, offset, q):
+        """The bands that reach the bound, of q-grams at `near` with n hits each from lo on."""
+        inside = near + q <= first[text + 1]
+        near, n, lo, text = near[inside], n[inside], lo[inside], text[inside]
+        if not len(near):
+            return
+        which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        passage = item[which]
+        band = np.floor_divide(np.repeat(near - first[text], n) - offset[which], self.k[passage] + 1)
+        low, t0 = int(band.min()) - 1, int(text[0])
+        width = int(band.max()) - low + 1
+        key = (np.repeat(text - t0, n) * len(self.passages) + passage) * width + (band - low)
+        key = np.concatenate((key, key - 1))
+        key.sort()
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count, key = np.diff(np.append(head, len(key))), key[head]
+        pair, band = np.divmod(key, width)
+        text, passage = np.divmod(pair, len(self.passages))
+        enough = count >= self.need[passage]
+        yield from zip((text[enough] + t0).tolist(), passage[enough].tolist(), (band[enough] + low).tolist())
 
     def search(self, texts: list[str]):
         """(text, passage, start, end, edits) of all occurrences, in code points of the text; overlapping ones are reported once."""
@@ -163,7 +204,10 @@ class PassageIndex:
             where = own[a:b].tobytes().find(p.tobytes())
             while where >= 0 and where % 4:
                 where = own[a:b].tobytes().find(p.tobytes(), where + 1)
-            found = (0, a + where // 4, a + where // 4 + len(p)) if where >= 0 else align(p, own, low, high, k)
+            if where >= 0:
+                found = 0, a + where // 4, a + where // 4 + len(p)
+            else:
+                found = align(p, own, low, high, k) if least_edits(self.grams(passage), own[a:b], min(Q, len(p)), k) <= k else None
             if found:
                 edits, x, y = found
                 x, y = max(0, x), max(x + 1, y)

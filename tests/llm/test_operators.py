@@ -233,6 +233,18 @@ def test_edited_passages_are_found():
         assert found == [(pad + 1 + i * (len(passage) + 1), pad + 1 + i * (len(passage) + 1) + len(passage), 0) for i in range(3)]
 
 
+def test_passages_with_a_word_replaced_are_found():
+    words = "the committee published its recommendations about sustainable transportation in rural areas after months of consultation with local residents".split()
+    index = decontaminate.PassageIndex([1], [" ".join(words)])
+    for i, w in enumerate(words):
+        edited = " ".join([*words[:i], "q" * len(w), *words[i + 1 :]])
+        assert [h[1] for h in index.search([f"other words before it {edited} and other words after it"])] == [0]
+    q, (k, need) = decontaminate.Q, decontaminate.budget(len(" ".join(words)))
+    assert k >= max(map(len, words)) and need > 0 and q >= 6
+    edits = decontaminate.least_edits(index.grams(0), decontaminate.normal(["nothing of it"])[0], q, k)
+    assert edits == k + 1
+
+
 def check_packing(result, texts, capacity=4096):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = [np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in texts]
