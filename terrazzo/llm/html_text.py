@@ -7,15 +7,22 @@ text. Length alone decides blocks of a script without stop words here, and those
 on a page of another language (its words together, and its long blocks each, are below the density).
 In the second pass an open block takes the label of its nearest decided neighbours; the page's edges
 are none. Only a short block in a bare container nearer to the page's start than to the first decided
-block, whose element is another, is left out like a menu. Elements that are never article text
-(menus, footers, forms, scripts, and whatever a class or role calls an advert, notice, sidebar or
-comment) are left out before. On a page with an article or main element only its blocks count, and
-inside it a block without stop words or of a few words is open, not boilerplate; open blocks there
-are text where nothing speaks against it.
+block, whose element is another, is left out like a menu.
+
+Element names, roles, and words of classes and ids are signals beside these. A name that only
+contains such a word lowers its blocks by a step, so that their neighbours decide. One that says
+what an element is (nav, footer, a form, "comments", "sidebar-left", but not "no-sidebar") makes it a
+suspect region: it goes, unless it holds the article element or the main heading and nothing outside
+of all suspect regions does, or nothing outside is sure and most of the text is inside of it. A suspect region inside of one that
+stays is judged likewise. An article or main element raises its blocks by a step, and where most of
+the sure text is in such elements only their blocks count; open blocks there are text where nothing
+speaks against it.
 
 Cases: a null or empty page, and one without text, gives an empty text; unclosed and stray tags,
-quotes and comments end where a browser ends them, or with the page; rows are independent; an
-empty table gives an empty result; other columns are not read.
+quotes and comments end where a browser ends them, or with the page; a very long page is read whole,
+in time that grows with its length; an open block as near to a text as to boilerplate takes the
+label before it; pages that repeat and equal blocks are each kept; rows are independent; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ from pyspark.sql import DataFrame
 
 # Fixed: element names by role.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "math", "canvas", "textarea", "title")
-SKIPPED = frozenset((*RAW, "head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "audio", "video", "map"))
+SKIPPED = frozenset((*RAW, "head", "audio", "video", "map"))
+SUSPECT = frozenset(("nav", "footer", "aside", "button", "select", "option", "menu", "dialog"))  # never the text unless the article is inside
 MAIN = frozenset(("article", "main"))
 INLINE = frozenset((
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "meter", "nobr", "output", "q",
@@ -43,6 +51,12 @@ NOISE = frozenset((
     "recommendations", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "comment", "comments", "commentlist",
     "disqus", "respond", "replies", "widget", "toolbar", "skip", "hidden", "outbrain", "taboola", "disclaimer",
 ))
+# Fixed: words that may follow what an element is, and words that deny it.
+GENERIC = frozenset((
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "form", "group", "holder", "icons", "inner", "item", "items", "label", "left", "link", "links", "list",
+    "message", "module", "outer", "page", "panel", "posts", "region", "right", "row", "section", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper",
+))
+DENIALS = frozenset(("no", "non", "not", "has", "with", "without", "hide", "is"))
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"))
 # Fixed: frequent function words of some languages.
 STOPWORDS = frozenset("""
@@ -53,7 +67,8 @@ el los las del y es por con para se lo una su al como más pero sus le ya este s
 il di che è non per si con da sono una alla della nel dei gli più anche ma o do da em não os as dos na uma no para com ao het een van zijn op te dat met voor niet aan er
 """.split())
 
-LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.33, 70, 200, 0.10, 0.20
+LINKS, MANY_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.33, 0.66, 70, 200, 0.10, 0.20
+LOWER = {"good": "near", "near": "short"}  # a step down
 
 _TOKEN = re.compile(
     r"<!--(?:.*?(?:--!?>|\Z))|<(?P<raw>%s)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>(?:.*?(?:</(?P=raw)\s*+[^>]*>|\Z))|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/](?:[^>]*)(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)" % "|".join(RAW),
@@ -62,64 +77,86 @@ _TOKEN = re.compile(
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WIDE = re.compile("[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\U00020000-\U0003fffd]")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _FOREIGN = re.compile(r"[^\W\d_\x00-\u024f\u1e00-\u1eff]")  # letters that are not Latin
 _WORD = re.compile(r"[^\W_]+")
-
-
-def _noise(tag: str, attrs: str, in_main: bool) -> bool:
-    """Whether an element's own tag says that it is not article text."""
-    if tag in SKIPPED or (tag == "header" and not in_main):
-        return True
-    if not attrs or tag in ("html", "body") or tag in MAIN:
-        return False
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+STRONG, WEAK = 2, 1
+
+
+def name_hint(value: str, in_main: bool) -> int:
+    """What the names of a class or id attribute say against its element."""
+    hint = 0
+    for name in value.split():
+        pieces = [p.lower() for p in _PIECE.findall(name)]
+        noise = [p in NOISE or (p == "header" and not in_main) for p in pieces]
+        if any(noise) and DENIALS.isdisjoint(pieces[: noise.index(True)]):
+            last = len(pieces) - 1
+            while not noise[last] and pieces[last] in GENERIC:
+                last -= 1
+            hint = max(hint, STRONG if noise[last] else WEAK)
+    return hint
+
+
+def _hint(tag: str, attrs: str, in_main: bool) -> int:
+    """What an element's own tag says against its text."""
+    hint = STRONG if tag == "form" or (tag == "header" and not in_main) else 0
+    if not attrs or tag in ("html", "body"):
+        return hint
     for name, a, b, c in _NAMED.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = _WORD.findall(value)
-            if not NOISE.isdisjoint(words) or (not in_main and "header" in words):
-                return True
-    return False
+            hint = max(hint, name_hint(value, in_main))
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES) or (name == "style" and _UNSEEN.search(value)):
+            hint = STRONG
+    return hint
+
+
+class Region:
+    """A suspect element: its parent region, and whether it holds an article element or a main heading."""
+
+    __slots__ = ("parent", "hard", "main", "title", "kept")
+
+    def __init__(self, parent: Region | None, hard: bool):
+        self.parent, self.hard, self.main, self.title, self.kept = parent, hard, False, False, False
 
 
 class Block:
-    __slots__ = ("text", "links", "main", "tag", "label", "words", "stops")
+    __slots__ = ("text", "links", "main", "tag", "region", "weak", "label", "words", "stops")
 
-    def __init__(self, text: str, links: int, main: bool, tag: str):
-        self.text, self.links, self.main, self.tag, self.label = text, links, main, tag, ""
+    def __init__(self, text: str, links: int, main: bool, tag: str, region: Region | None, weak: bool):
+        self.text, self.links, self.main, self.tag, self.region, self.weak, self.label = text, links, main, tag, region, weak, ""
         self.words = self.stops = 0
 
 
-def blocks(page: str) -> list[Block]:
-    """All blocks with text outside elements that are skipped, in page order."""
+def blocks(page: str) -> tuple[list[Block], list[Region]]:
+    """All blocks with text outside elements that are skipped, in page order, and the suspect regions, outer ones first."""
     out: list[Block] = []
+    regions: list[Region] = []
     pieces: list[str] = []
     linked = 0
-    stack: list[tuple[str, int]] = []  # open elements with 1 skipped, 2 main, 4 link
+    stack: list[tuple[str, int, Region | None]] = []  # open elements with 1 skipped, 2 main, 4 link, 8 weak, and the region outside of each
     open_: dict[str, int] = {}
-    skipped = mains = anchors = breaks = 0
+    skipped = mains = anchors = weaks = breaks = 0
+    region: Region | None = None
 
     def close():
         nonlocal linked, breaks
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, linked, mains > 0, next((t for t, _ in reversed(stack) if t not in INLINE), "")))
+                out.append(Block(text, linked, mains > 0, next((t for t, _, _ in reversed(stack) if t not in INLINE), ""), region, weaks > 0))
             pieces.clear()
         linked = breaks = 0
 
     def pop():
-        nonlocal skipped, mains, anchors
-        name, kind = stack.pop()
+        nonlocal skipped, mains, anchors, weaks, region
+        name, kind, region = stack.pop()
         open_[name] -= 1
         skipped -= kind & 1
         mains -= kind >> 1 & 1
-        anchors -= kind >> 2
+        anchors -= kind >> 2 & 1
+        weaks -= kind >> 3
 
     def text(a: int, b: int):
         nonlocal linked, breaks
@@ -164,17 +201,29 @@ def blocks(page: str) -> list[Block]:
             pop()
         if tag in VOID:
             continue
-        kind = (1 if _noise(tag, attrs, mains > 0) else 0) | (2 if tag in MAIN else 0) | (4 if tag == "a" else 0)
-        if attrs.endswith("/") and tag not in MAIN and kind & 1 == 0:
+        hint = _hint(tag, attrs, mains > 0)
+        suspect = tag in SUSPECT or hint == STRONG
+        kind = (1 if tag in SKIPPED else 0) | (2 if tag in MAIN and not suspect else 0) | (4 if tag == "a" else 0) | (8 if hint == WEAK else 0)
+        if attrs.endswith("/") and tag not in MAIN and tag not in SKIPPED and not suspect:
             continue
-        stack.append((tag, kind))
+        if suspect and inline:
+            close()
+        stack.append((tag, kind, region))
         open_[tag] = open_.get(tag, 0) + 1
         skipped += kind & 1
         mains += kind >> 1 & 1
-        anchors += kind >> 2
+        anchors += kind >> 2 & 1
+        weaks += kind >> 3
+        if suspect:
+            region = Region(region, tag in SUSPECT)
+            regions.append(region)
+        outer = region
+        while outer and (tag in MAIN or tag == "h1") and not suspect:
+            outer.main, outer.title = outer.main or tag in MAIN, outer.title or tag == "h1"
+            outer = outer.parent
     text(at, len(page))
     close()
-    return out
+    return out, regions
 
 
 def columns(text: str) -> int:
@@ -195,7 +244,10 @@ def by_length(n: int) -> str:
 def decide(block: Block) -> str:
     """First pass: good, bad, near (probably text), short, or bare (long, of few links, without stop words)."""
     n = len(block.text)
-    if block.links > LINKS * n:
+    words = [w.lower() for w in _WORD.findall(block.text)] if n >= SHORT or block.links else []
+    stops = sum(w in STOPWORDS for w in words)
+    density = stops / max(1, len(words))
+    if block.links > (LINKS if density < MANY_STOPS or not block.main else MANY_LINKS) * n:
         return "bad"
     if not block.main and (block.text.startswith("©") or (n < LONG and "©" in block.text)):
         return "bad"
@@ -203,9 +255,6 @@ def decide(block: Block) -> str:
         n = columns(block.text)
     if n < SHORT:
         return "short" if block.main or not block.links else "bad"
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in STOPWORDS for w in words)
-    density = stops / max(1, len(words))
     if not block.main and density < FEW_STOPS and foreign(block.text):
         return by_length(n)
     block.words, block.stops = len(words), stops
@@ -216,47 +265,102 @@ def decide(block: Block) -> str:
     return "near" if block.main else "bare"
 
 
-def extract(page: str) -> str:
-    """The article's blocks, joined by an empty line."""
-    found = blocks(page)
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    for b in found:
-        b.label = decide(b)
-    words, stops = sum(b.words for b in found), sum(b.stops for b in found)
-    covered = stops and (stops >= FEW_STOPS * words or any(b.label == "good" and b.stops for b in found))
+def outside(block: Block) -> bool:
+    """Whether no suspect region that goes holds the block; a region stays only if those around it do."""
+    return not block.region or block.region.kept
+
+
+def judge(found: list[Block], regions: list[Region]) -> None:
+    """Marks the suspect regions that stay, outer ones first."""
+    sure: dict[Region, int] = {}  # characters of sure text in each region
+    own: dict[Region | None, list[Block]] = {}
+    inner: dict[Region | None, list[Region]] = {}
     for b in found:
-        if b.label == "bare":
-            b.label = "bad" if covered else by_length(columns(b.text))
-    if not any(b.label == "good" for b in found):
-        for b in found:
-            b.label = "good" if b.label == "near" else b.label
-    edge = ("good", None) if found and found[0].main else None
-    after, nearest = [], edge
-    for i in range(len(found) - 1, -1, -1):
+        own.setdefault(b.region, []).append(b)
+        r = b.region if b.label == "good" else None
+        while r:
+            sure[r] = sure.get(r, 0) + len(b.text)
+            r = r.parent
+    for r in regions:
+        if sure.get(r):
+            inner.setdefault(r.parent, []).append(r)
+    held = rest = 0
+    main = title = False
+    chosen, open_ = None, []
+    while True:
+        open_ += inner.get(chosen, [])
+        for b in own.get(chosen, ()):  # what the last region adds to the text outside of suspect ones
+            held, rest = held + len(b.text) * (b.label == "good"), rest + len(b.text) * (b.label in ("near", "short"))
+            main, title = main or b.main, title or b.tag == "h1"
+        article = [r for r in open_ if (r.main and not main) or (r.title and not title and not main and sure[r] > held)]
+        most = [r for r in open_ if not (held or main or r.hard) and sure[r] > 2 * rest]
+        chosen = max(article or most, key=sure.get, default=None)
+        if not chosen:
+            return
+        chosen.kept = True
+        open_.remove(chosen)
+
+
+def settle(labels: list[str], edge: str | None, lenient: bool, tags: list[str]) -> list[bool]:
+    """Second pass: whether each block is text, from the labels of the first pass.
+
+    edge is the label beyond both ends, if any; lenient: open blocks between unlike neighbours are text.
+    """
+    end = (edge, None) if edge else None
+    after, nearest = [], end
+    for i in range(len(labels) - 1, -1, -1):
         after.append(nearest)
-        if found[i].label in ("good", "bad"):
-            nearest = (found[i].label, i)
+        if labels[i] in ("good", "bad"):
+            nearest = (labels[i], i)
     after.reverse()
-    before, keep = edge, []
-    for i, b in enumerate(found):
-        label, then = b.label, after[i]
+    before, keep = end, []
+    for i, label in enumerate(labels):
+        then = after[i]
         if label in ("good", "bad"):
             before = (label, i)
         elif before and then:
             if before[0] == then[0]:
                 label = before[0]
-            elif label == "near" or b.main:
+            elif label == "near" or lenient:
                 label = "good"
             else:
                 label = before[0] if i - before[1] <= then[1] - i else then[0]
-        elif then and label == "short" and b.tag in CONTAINERS and b.tag != found[then[1]].tag and i < then[1] - i:
+        elif then and label == "short" and tags[i] in CONTAINERS and tags[i] != tags[then[1]] and i < then[1] - i:
             label = "bad"
         elif before or then:
             label = (before or then)[0]
-        if label == "good":
-            keep.append(b.text)
-    return "\n\n".join(keep)
+        keep.append(label == "good")
+    return keep
+
+
+def extract(page: str) -> str:
+    """The article's blocks, joined by an empty line."""
+    found, regions = blocks(page)
+    for b in found:
+        b.label = decide(b)
+    words, stops = sum(b.words for b in found), sum(b.stops for b in found)
+    covered = stops and (stops >= FEW_STOPS * words or any(b.label == "good" and b.stops for b in found))
+    for b in found:
+        if b.label == "bare":
+            b.label = "bad" if covered else by_length(columns(b.text))
+        if b.weak:
+            b.label = LOWER.get(b.label, b.label)
+    for some in ([b for b in found if not b.region], found):  # middling blocks are text where no block is sure
+        if not any(b.label == "good" for b in found):
+            for b in some:
+                b.label = "good" if b.label == "near" else b.label
+    judge(found, regions)
+    sure = lambda some: sum(len(b.text) for b in some if b.label == "good")
+    inside = [b for b in found if b.main and outside(b)]
+    others = [b for b in found if not b.main and outside(b)]
+    if inside and 2 * sure(inside) >= sure(others):
+        found = inside
+    else:
+        for b in found:
+            b.label, b.main = b.label if outside(b) else "bad", False
+    article = bool(found) and found[0].main
+    keep = settle([b.label for b in found], "good" if article else None, article, [b.tag for b in found])
+    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract_pages(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
