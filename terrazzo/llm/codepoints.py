@@ -31,13 +31,13 @@ SCRIPT_NAMES = ("none", *SCRIPTS, "other")
 
 @cache
 def _categories() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point its lower-case form and its category: 0 neither, 1 letter or mark, 2 digit."""
+    """For every code point its lower-case form and its category: 0 neither, 1 letter, 2 digit, 3 mark."""
     fold, kind = np.arange(sys.maxunicode + 1, dtype=np.uint32), np.zeros(sys.maxunicode + 1, np.uint8)
     for c in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0xE0100, 0xE01F0)):
         ch = chr(c)
         major = unicodedata.category(ch)[0]
         if major in "LM":
-            kind[c] = 1
+            kind[c] = 1 if major == "L" else 3
             low = ch.lower()
             if len(low) == 1:
                 fold[c] = ord(low)
@@ -49,14 +49,15 @@ def _categories() -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def letter_table() -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters (0 for all else) and script numbers (0 for all else) of code points."""
+def letter_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case letters and marks (0 for all else), script numbers (0 for all else), and whether it is a mark."""
     fold, kind = _categories()
-    script = np.where(kind == 1, len(SCRIPT_NAMES) - 1, 0).astype(np.uint8)
+    some = np.isin(kind, (1, 3))
+    script = np.where(some, len(SCRIPT_NAMES) - 1, 0).astype(np.uint8)
     for n, ranges in enumerate(SCRIPTS.values(), 1):
         for a, b in ranges:
-            script[a : b + 1][kind[a : b + 1] == 1] = n
-    return np.where(kind == 1, fold, 0).astype(np.uint32), script
+            script[a : b + 1][some[a : b + 1]] = n
+    return np.where(some, fold, 0).astype(np.uint32), script, kind == 3
 
 
 @cache

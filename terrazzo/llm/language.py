@@ -9,9 +9,10 @@ told at once, from running sums of the leads of the others.
 Training reads a sample of labelled texts of documented size, whole texts only, picked by a hash
 of the id; counts are added up on the executors.
 
-Cases: a null text or one without letters is `und` with score 0; a null label teaches nothing;
-without any training text all is `und`; ties go to the first language by name; rows that repeat an
-id are scored each; an empty table gives an empty result; other columns are not read.
+Cases: a null text or one without letters (of marks or digits alone, say) is `und` with score 0; a
+null label teaches nothing; without any training text all is `und`; ties go to the first language by
+name; a very long text is labelled whole, by itself; rows that repeat an id are scored each; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +35,18 @@ UNKNOWN = "und"
 
 
 class Letters:
-    """The words (runs of letters) of several texts."""
+    """The words of several texts: a letter, then all letters and marks that follow it."""
 
     def __init__(self, texts: list[str]):
         raw, bounds = codes(texts)
-        fold, script = letter_table()
-        c = fold[raw]
-        self.script = script[raw]
+        fold, script, mark = letter_table()
+        c, self.script, marks = fold[raw], script[raw], mark[raw]
+        if marks.any():  # those that no letter stands before belong to no word
+            at = np.arange(len(c))
+            gap = np.maximum.accumulate(np.where(c == 0, at, -1))
+            letter = np.maximum.accumulate(np.where((c > 0) & ~marks, at, -1))
+            c[marks & (letter <= gap)] = 0
+            self.script[c == 0] = 0
         some = np.concatenate(([False], c > 0))
         edge = np.flatnonzero(some[1:] != some[:-1])
         self.start, self.end = edge[::2], edge[1::2]
