@@ -5,7 +5,8 @@ words, gated attention weighs the passages, and the weighted sum of their encodi
 document's score. Weights are learned from document labels only, by Adam in NumPy on the driver,
 from a sample of labelled rows of documented size (whole texts, picked by a hash of the id).
 
-Cases: a null, empty or wordless text is one passage of zeros and gets a score; null labels teach
+Cases: a null, empty or wordless text is one passage of zeros and gets a score; a very long text is
+scored whole; equal texts have equal scores; columns of other names, as `y`, do no harm; null labels teach
 nothing, and of several labels for an id the largest counts; without labels of both kinds every
 score is the share of label 1 (0.5 without any); rows that repeat an id are scored each; an empty
 table gives an empty result; other columns are not read.
@@ -23,6 +24,7 @@ from .shared import remainder
 
 PASSAGE = 64  # words
 TRAIN_ROWS = 12_000  # labelled rows to learn from, at most in expectation
+TRAIN_BYTES = 256 << 20  # of their texts, in expectation; the driver holds a quarter of that as features
 CUT = 0.3  # a score of at least this predicts label 1
 
 # Exclusive byte classes that a passage counts.
@@ -153,15 +155,19 @@ def _featurise(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> AttentionModel:
-    """A model from the labelled rows of docs: about `rows` of labels, picked by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> AttentionModel:
+    """A model from the labelled rows of docs: about `rows` of labels with about `text_bytes` of text, picked by a hash of the id."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64(doc_id, F.lit(29)), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("double").alias("y"))
-    some = docs.join(F.broadcast(known), docs[doc_id] == known["__id"]).select(doc_id, text, "y")  # at most `rows` rows of two numbers
-    got = some.mapInArrow(_featurise, f"doc_id {dict(docs.dtypes)[doc_id]}, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("double").alias("__y"))
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    some = docs.join(F.broadcast(known), F.col("id") == F.col("__id"))  # at most `rows` rows of two numbers
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > text_bytes:
+        some = some.where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(1_000_000)) < int(1_000_000 * text_bytes / size))
+    got = some.select("id", "text", "__y").mapInArrow(_featurise, f"doc_id {docs.dtypes[0][1]}, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH).astype(float) for b in got["x"].to_pylist()]
     return AttentionModel().fit(bags, got["y"].to_numpy())
 
