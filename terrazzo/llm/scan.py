@@ -111,6 +111,14 @@ class Joined:
         return span_hash(self.sums, start, end)
 
 
+_PRINT = mix(np.arange(256, dtype=_U) + _U(0x3C6EF372FE94F82B))
+
+
+def fingerprints(joined: Joined, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second 64-bit hash of spans, independent of the first."""
+    return span_hash(prefix(_PRINT[joined.bytes]), start, end)
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """For each word or line the index of its text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where that is unset (tests on one machine)."""
+    """The cluster's spark.checkpoint.dir. Where it is unset: a local folder on a single machine, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "terrazzo-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_tables: list[str] = []  # folders that stored() made and nobody has deleted
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._terrazzo_path = path
+    return made
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes a table made by stored() that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _tables.remove(path)
+
+
+def remove(*tables: DataFrame | None) -> None:
+    """Deletes tables made by stored() that are no longer read."""
+    for df in tables:
+        path = getattr(df, "_terrazzo_path", None)
+        if path in _tables:
+            _delete(df.sparkSession, [path])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that were stored inside it; call its value with those to keep."""
+    before, kept = set(_tables), []
+    try:
+        yield kept.append
+    finally:
+        keep = {getattr(df, "_terrazzo_path", None) for df in kept}
+        _delete(spark, [p for p in _tables if p not in before and p not in keep])
 
 
 def remainder(column: str, divisor: int):
@@ -49,21 +76,31 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def blocks_for(docs: DataFrame, text: str, target_bytes: int = 24 << 20) -> int:
-    """How many blocks keep one block near target_bytes of text; follows the input without bound."""
-    total = docs.select(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    return max(partitions(docs.sparkSession), -(-int(total) // target_bytes))
+def parts_for(spark: SparkSession, size: int, target: int) -> int:
+    """How many parts keep one near `target` bytes; follows the input without bound."""
+    return max(partitions(spark), -(-int(size) // target))
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return int(docs.select(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
 
 
-def with_block(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """Adds __block, an even deal of rows; rows that agree in `columns` share a block."""
-    return docs.withColumn("__block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of 64-bit keys; in their order where the keys are."""
+    return (((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)
 
 
-def cut(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Bounds that cut sorted 64-bit keys into `shards` ranges of the key space."""
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], dtype=_U)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
+def parts_by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that hold some of the sorted keys, and the bounds of their parts."""
+    s = shard_of(keys, shards)
+    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    return s[head], np.append(head, len(s))
+
+
+def places(keys: np.ndarray, asked: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted keys of the shards `asked` begin and end."""
+    s = shard_of(keys, shards)
+    return np.searchsorted(s, asked), np.searchsorted(s, asked, "right")
 
 
 def pack_counts(x: np.ndarray) -> bytes:
@@ -91,6 +128,9 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def exchange(
     docs: DataFrame,
+    deal: Column,
+    blocks: int,
+    shards: int,
     request: Callable,
     request_schema: str,
     answer: Callable,
@@ -98,13 +138,17 @@ def exchange(
     finish: Callable,
     finish_schema,
 ) -> DataFrame:
-    """Lets blocks of documents ask sharded tables, with one row for each block and shard.
-
-    docs has __block. request(table) makes rows (__block, shard, ...) with packed distinct keys of
-    the block; answer(table) sees all requests of one shard and makes rows (__block, shard, ...);
-    finish(docs, answers) makes the result of a block. A key that many documents hold is a single
-    entry for each block, so no task reads the rows of a hot key.
+    """Lets blocks of documents ask sharded tables, with one row for each block and shard that it needs.
+
+    `deal` is hashed to deal the documents to blocks (column __block, one block a task).
+    request(table) makes rows (__block, shard, ...) with packed distinct keys of the block;
+    answer(table) sees all requests of one shard and makes rows (__block, shard, ...); finish(docs,
+    answers) makes the result of a block. A key that many documents hold is a single entry for each
+    block, so no task reads the rows of a hot key. Numbers of blocks and shards follow the input, so
+    that a task holds a bounded part of it; where there are more shards than a block has keys, the
+    rows are as many as the keys.
     """
-    asked = docs.groupBy("__block").applyInArrow(request, request_schema)
-    told = asked.groupBy("shard").applyInArrow(answer, answer_schema)
-    return docs.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(finish, finish_schema)
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(deal), F.lit(blocks)).cast("int")).repartitionById(blocks, F.col("__block"))
+    asked = dealt.groupBy("__block").applyInArrow(request, request_schema).repartitionById(shards, F.col("shard"))
+    told = asked.groupBy("shard").applyInArrow(answer, answer_schema).repartitionById(blocks, F.col("__block"))
+    return dealt.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(finish, finish_schema)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrazzo.llm import decontaminate, html_text, language, line_dedup, lm_score, near_dedup, packing, quality_model, quality_rules, token_count
@@ -62,8 +63,12 @@ def brute_classes(table):
             i = parent[i]
         return i
 
+    held = collections.defaultdict(list)
     for n, (i, a) in enumerate(table):
-        for j, b in table[:n]:
+        near = {m for w in a for m in held[w]}  # texts without a window in common have no link
+        for w in a:
+            held[w].append(n)
+        for j, b in (table[m] for m in near):
             both = sum((a & b).values())
             if both and both >= 0.8 * (a.total() + b.total() - both) - 1e-9:
                 x, y = sorted((root(i), root(j)))
@@ -82,6 +87,66 @@ def test_language(spark, docs, odd, empty):
     assert language.identify(empty, language.fit(empty)).count() == 0 and language.LanguageModel({}).label(["a"])[0][0] == "und"
 
 
+def test_language_equals_brute_force(spark, docs):
+    import unicodedata
+
+    model = language.fit(docs)
+    names, penalty = model.languages, language.PENALTY
+
+    def slot(a, b, c):
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 17
+
+    def words(text):
+        out, word = [], ""
+        for ch in text + " ":
+            kind = unicodedata.category(ch)[0]
+            if kind == "L" or (kind == "M" and word):
+                word += ch.lower() if len(ch.lower()) == 1 else ch
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def scores(word):
+        codes = [0, 0, *map(ord, word), 0]
+        slots = [slot(codes[i - 2] if codes[i - 1] else 0, codes[i - 1], codes[i]) for i in range(2, len(codes))]
+        own = [model.own[k][script_of(word[0]) - 1] for k in range(len(names))]
+        if not any(own):
+            return [0.0] * len(names)
+        return [float(sum(model.table[k][x] for x in slots)) - 50 * (not own[k]) for k in range(len(names))]
+
+    def script_of(ch):
+        for n, ranges in enumerate(language_scripts.values(), 1):
+            if any(a <= ord(ch) <= b for a, b in ranges):
+                return n
+        return len(language_scripts) + 1
+
+    from terrazzo.llm.codepoints import SCRIPTS as language_scripts
+
+    def best(text):
+        found = words(text or "")
+        if not found:
+            return "und"
+        value, back = [0.0] * len(names), []
+        for n, w in enumerate(found):
+            top = max(range(len(names)), key=value.__getitem__)
+            came = [k if not n or value[k] >= value[top] - penalty else top for k in range(len(names))]
+            value = [(value[j] - penalty * (j != k)) + x for k, (j, x) in enumerate(zip(came, scores(w)))]
+            back.append(came)
+        state, letters = max(range(len(names)), key=value.__getitem__), [0] * len(names)
+        for w, came in zip(reversed(found), reversed(back)):
+            letters[state] += len(w)
+            state = came[state]
+        return names[max(range(len(names)), key=letters.__getitem__)]
+
+    odd = ["\u0301\u0300 \u093e", "12 34", "e\u0301te\u0301 et les gens", "naïve straße\u0308", "日本語 the thing of", "\u0301the of and"]
+    texts = [r["text"] for r in docs.collect()][:60] + odd
+    assert [x[0] for x in model.label([t or "" for t in texts])] == [best(t) for t in texts]
+    assert [x[0] for x in model.label(odd)][:2] == ["und", "und"]
+
+
 def test_viterbi_shortcut_equals_the_full_pass():
     r = np.random.default_rng(0)
     model = language.LanguageModel({x: np.zeros(language.SLOTS + len(language.SCRIPT_NAMES), np.int64) for x in "abc"})
@@ -124,6 +189,40 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(table)
 
 
+def test_near_duplicates_lose_no_link(spark):
+    """Recall at sf0.01, by brute force over all pairs of texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_near_duplicates_of_a_bucket_that_is_salted(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "SALT_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "GROUP", 3000)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    random.seed(9)
+    table = []
+    for i in range(150):  # families that share half of their words, so that buckets hold unlike texts
+        w = [f"w{j}" for j in range(40)] + [f"f{i % 6}x{j}" for j in range(30)]
+        for _ in range(random.randint(0, 2)):
+            w[random.randrange(70)] = f"e{random.randint(0, 40)}"
+        table.append((f"k{i:03}", " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(table)
+
+
+def test_short_registers_count_matches(spark):
+    r = np.random.default_rng(2)
+    a = r.integers(0, 256, (50, 96)).astype(np.uint8)
+    b = np.where(r.random((50, 96)) < r.random((50, 1)), a, r.integers(0, 256, (50, 96))).astype(np.uint8)
+    table = [(x.view(np.int64).tolist(), y.view(np.int64).tolist(), int((x == y).sum())) for x, y in zip(a, b)]
+    got = spark.createDataFrame(table, "a array<bigint>, b array<bigint>, n int").select(near_dedup.matches("a", "b").alias("m"), "n").collect()
+    assert all(r["m"] == r["n"] for r in got)
+    assert 50 <= near_dedup.least_matches(0.8) <= 56 and near_dedup.least_matches(1.0) == 96
+
+
 def test_near_duplicates_name_what_they_count(spark, empty):
     assert near_dedup.near_duplicates(empty).columns == ["doc_id", "class_id", "n_compared_links", "kept"]
 
@@ -168,6 +267,100 @@ def test_html(spark):
     assert html_text.extract_pages(table.limit(0)).count() == 0 and html_text.query(spark, SF).where("n_chars > 0").count() > 0
 
 
+def test_html_names_are_signals_only():
+    long = ("The story of the town and its people is told in the book that was found by the river in the spring of that year. " * 3).strip()
+    parts = lambda page: html_text.extract(page).split("\n\n")
+    assert parts(f'<div class="content no-sidebar"><p>{long}</p></div>') == [long]
+    assert parts(f'<div class="post has-comments"><p>{long}</p><div class="comments"><p>{long} I liked it.</p></div></div>') == [long]
+    assert parts(f'<article><p>{long}</p><section id="related-work"><h2>Related work</h2><p>{long}</p></section></article>') == [long, "Related work", long]
+    assert parts(f'<div class="share-page-body"><article><p>{long}</p></article></div>') == [long]
+    assert parts(f'<body><form action=x><nav><a href=x>Home</a></nav><div><p>{long}</p></div><button>go</button></form>') == [long]
+    assert parts(f'<div class="modal"><h1>Title</h1><p>{long}</p></div><div class="cookie-notice"><p>{long}</p></div>') == ["Title", long]
+    assert parts(f'<article class="comment"><p>{long} Nice.</p></article><article><p>{long}</p></article><div class="sidebar-left"><p>{long}</p></div>') == [long]
+    assert [html_text.name_hint(x, False) for x in ("no-sidebar", "has-comments", "related-work", "sidebar-left", "siteFooter", "comment-body", "story", "", "ads2", "header")] == [0, 0, 1, 2, 2, 2, 0, 0, 2, 2]
+    assert html_text.extract("<nav><p>" + long + "</p></nav>") == ""
+
+
+def test_html_stop_words_decide(monkeypatch):
+    long = ("The story of the town and its people is told in the book that was found by the river in the spring of that year. " * 3).strip()
+    words = ("Sensor battery charger adapter keyboard monitor printer scanner cable router switch speaker headset camera tripod lens filter. " * 2).strip()
+    page = f"<div>Start</div><div><p>{long}</p><p>Short.</p></div><div>{words}</div><div>Pay here</div><div>{words}</div>"
+    with_words = html_text.extract(page)
+    assert with_words == f"{long}\n\nShort."
+    monkeypatch.setattr(html_text, "STOPWORDS", frozenset())
+    assert html_text.extract(page) != with_words
+
+
+def test_html_second_pass_equals_brute_force():
+    import random
+
+    def brute(labels, edge, lenient, tags):
+        out = []
+        for i, label in enumerate(labels):
+            decided = [j for j, x in enumerate(labels) if x in ("good", "bad")]
+            left, right = max((j for j in decided if j < i), default=None), min((j for j in decided if j > i), default=None)
+            a, b = edge if left is None else labels[left], edge if right is None else labels[right]
+            if label in ("good", "bad"):
+                out.append(label == "good")
+            elif a and b:
+                out.append(a == "good" if a == b else label == "near" or lenient or (a if i - left <= right - i else b) == "good")
+            elif b and label == "short" and tags[i] in html_text.CONTAINERS and tags[i] != tags[right] and i < right - i:
+                out.append(False)
+            else:
+                out.append((a or b) == "good")
+        return out
+
+    random.seed(3)
+    for _ in range(2000):
+        labels = random.choices(("good", "bad", "near", "short"), (1, 1, 2, 4), k=random.randint(0, 12))
+        tags = random.choices(("div", "p", "td"), k=len(labels))
+        lenient = random.random() < 0.3
+        edge = "good" if lenient else None
+        assert html_text.settle(labels, edge, lenient, tags) == brute(labels, edge, lenient, tags)
+
+
+def test_html_pages_equal_a_tree_of_elements(spark):
+    """All pages of sf0.01, whose article is marked, against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag not in ("b", "i", "a", "em"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag not in ("b", "i", "a", "em"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.inside else ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        tree = Article()
+        tree.feed(r["html"] or "")
+        tree.close()
+        want[r["page_id"]] = "\n\n".join(x for x in (" ".join(b.split()) for b in tree.blocks) if x)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()} and all(want.values())
+
+
+def test_html_long_repeated_and_clashing(spark):
+    para = "<p>The story of the town and its people is told in the book that was found by the river in the spring of that year.</p>"
+    table = spark.createDataFrame([(1, "u", "<article>" + para * 4000, "x", 5), (1, "u", "<article>" + para, "y", 6), (1, "u", "<article>" + para, "y", 6)], "page_id bigint, url string, html string, text string, n_chars int")
+    got = sorted(r["text"].count("town") for r in html_text.extract_pages(table).collect())
+    assert got == [1, 1, 4000]
+
+
 def test_html_edges_of_a_page_are_not_boilerplate():
     long = "The story of the town and its people is told in the book that was found by the river in the spring of that year. " * 3
     long = long.strip()
@@ -289,6 +482,9 @@ def test_quality_classifier(spark, odd, empty):
     constant = quality_model.fit(odd, labels.limit(0))
     assert {r["score"] for r in quality_model.score(odd, constant).collect()} == {0.5}
     model = quality_model.fit_for(spark, spark.read.parquet(f"{big}/documents.parquet"), big)
+    clash = odd.withColumn("y", F.lit(1)).withColumn("__y", F.lit(2)).withColumn("id", F.lit(3))
+    assert len(quality_model.fit(clash, labels).p) == 9
+    assert quality_model.fit(spark.read.parquet(f"{big}/documents.parquet"), labels, text_bytes=100_000).p["W"].shape[0] == quality_model.WIDTH
     assert quality_model.score(odd, model).count() == odd.count() and quality_model.score(empty, model).count() == 0
     assert quality_model.keep_good(odd, constant).columns == odd.columns and quality_model.keep_good(odd, constant).count() == odd.count()
 
@@ -330,6 +526,50 @@ def test_lm_scores(spark, docs, odd, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
+def test_lm_scores_equal_brute_force(spark, docs):
+    """Deleted interpolation token by token; the operator rounds probabilities to quarter powers of two while it learns weights."""
+    table = [(r["doc_id"], ["<s>", *WORDS.findall(low(r["text"])), None]) for r in docs.collect()]
+    train = [x for i, x in table if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = collections.Counter(w for x in train for w in x[1:])
+    two = collections.Counter(p for x in train for p in zip(x, x[1:]))
+    total, uniform = one.total(), 1 / (len(one) + 1)
+    context = collections.Counter(w for x in train for w in x[:-1])
+    bucket = lambda n: n.bit_length()
+    rows_ = collections.defaultdict(list)
+    for x in train:
+        for a, b in zip(x, x[1:]):
+            rows_[bucket(context[a])].append((uniform, (one[b] - 1) / (total - 1), (two[a, b] - 1) / (context[a] - 1) if context[a] > 1 else 0.0))
+
+    def em(p, w):
+        p = np.array(p)
+        w = w * (p.sum(0) > 0)
+        w = w / w.sum()
+        for _ in range(60):
+            joint = p * w
+            share = (joint / joint.sum(1, keepdims=True)).sum(0)
+            w = (share + [0.5, 0, 0]) / (share.sum() + 0.5)
+        return w
+
+    whole = em([r for rs in rows_.values() for r in rs], np.array([0.2, 0.4, 0.4]))
+    weights = {b: em(rs, whole) for b, rs in rows_.items()}
+    weights[0] = whole * [1, 1, 0] / whole[:2].sum()
+    want = {}
+    for i, x in table:
+        want[i] = sum(np.log10(weights.get(bucket(context[a]), whole) @ [uniform, one[b] / total, two[a, b] / max(1, context[a])]) for a, b in zip(x, x[1:]))
+    got = {r["doc_id"]: r["score"] for r in lm_score.query(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.01 * abs(want[i]) + 0.01 for i in got)
+
+
+def test_a_context_count_that_is_a_power_of_two(spark):
+    """The commonest word, 1024 times, shares its bucket with no other; its followers are not scored by the uniform estimate."""
+    table = [(i, "a b c") for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:1024]
+    unseen = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = lm_score.score_texts(spark.createDataFrame([*table, (unseen, "a b c"), (unseen, "z y")], "doc_id bigint, text string")).where("held_out").collect()
+    assert max(r["score"] for r in got) > -0.1 and all(np.isfinite(r["score"]) for r in got)
+    w = lm_score.weights_by_em(np.zeros(0, np.int64), np.zeros(0, np.int64), 0.1)
+    assert np.allclose(w.sum(1), 1) and np.isfinite(w).all()
+
+
 def test_mixture_weights_are_a_distribution_and_raise_likelihood():
     cells = np.array([(b * (lm_score._GRID + 1) + s) * (lm_score._GRID + 1) + t for b in (0, 3) for s in (20, 40) for t in (4, lm_score._GRID)])
     w = lm_score.weights_by_em(cells, np.array([5, 1, 2, 9, 8, 3, 1, 1]), 1e-4)
@@ -345,6 +585,40 @@ def test_line_dedup(spark, odd, empty):
     assert (by[0]["text"], by[0]["n_lines"]) == ("", 1) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_text_ids_in_one_shard_or_many(spark):
+    lines = [f"this is line number {i} of a text that has enough characters" for i in range(40)]
+    table = [(f"id{d:02}", "\n".join(lines[d % 7 : d % 7 + 20] + ["own line of the document, long enough to count, " + str(d), "short"]), d) for d in range(30)]
+    table += [(None, "\n".join(lines[:3]), -1), (None, "\n".join(lines[:3]), -1), ("id05", "\n".join(lines[:9]), -2), ("id90", None, 0)]
+    docs = spark.createDataFrame(table, "doc_id string, text string, `__block` int")
+
+    def brute():
+        held = collections.defaultdict(set)
+        for i, t, _ in table:
+            for x in (t or "").split("\n"):
+                if i is not None and len(x) >= 40:
+                    held[x.lower()].add(i)
+        out = []
+        for i, t, b in table:
+            kept = [x for x in (t or "").split("\n") if len(held[x.lower()]) < 5 or max(held[x.lower()]) == i]
+            out.append((i, "\n".join(kept), b, len((t or "").split("\n")), len((t or "").split("\n")) - len(kept)))
+        return collections.Counter(out)
+
+    want = brute()
+    for shard, arrays in ((10**6, 1 << 26), (3, 1 << 26), (3, 0), (10**6, 0)):
+        got = line_dedup.dedup_lines(docs, shard=shard, arrays=arrays)
+        assert got.columns == ["doc_id", "text", "__block", "n_lines", "n_dropped"]
+        assert collections.Counter(map(tuple, got.collect())) == want
+
+
+def test_line_shards_tell_lines_of_one_hash_apart():
+    import pyarrow as pa
+
+    keys, prints = np.array([5, 5, 9, 1 << 63], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    shard = line_dedup.LineShard(keys, prints, np.array([5, 70_000, 6, 7]), pa.array([10, 20, 30, 40]))
+    count, top = shard.probe(np.array([5, 5, 5, 9, 9, 1 << 63, 77], np.uint64), np.array([1, 2, 3, 3, 4, 4, 1], np.uint64))
+    assert count.tolist() == [5, 70_000, 0, 6, 0, 7, 0] and top.to_pylist() == [10, 20, None, 30, None, 40, None]
+
+
 def test_packed_keys_round_trip():
     for n in (0, 1, 2, 5000):
         keys = np.unique(near_dedup.mix(np.arange(n, dtype=np.uint64)))
