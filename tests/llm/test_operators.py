@@ -647,3 +647,49 @@ def test_pipeline(spark, docs):
     classes = brute_classes(list(kept.items()))
     assert all(i == c for i, c in classes.items())  # no near duplicates are left
     check_packing(got, list(kept.values()))
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, odd):
+    """Nulls, empty, long and repeated texts, repeated ids, columns of other names, and tables without rows."""
+    import os
+
+    import corpus_pipeline
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(labels.where("quality = 1"), "doc_id", "left_semi")
+    extra = [c for c in odd.columns if c not in good.columns]
+    table = good.select("*", *(F.lit(None).cast("string").alias(c) for c in extra)).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    passages = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    for name, frame, bench in (("odd", table, passages), ("none", odd.limit(0), passages), ("no passages", odd, passages.limit(0))):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, kept = kept, stage(spark, kept, folder)
+            assert kept.columns == frame.columns and kept.count() <= before.count()
+        left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert {r["doc_id"] for r in got} == {i for i, _ in left}
+        check_packing(got, [t for _, t in left])
+        assert name != "none" or not got
+        classes = brute_classes([(i, t) for i, t in left if i is not None])
+        assert all(i == c for i, c in classes.items())
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert sum(x.startswith("pipeline-") for x in os.listdir(folder.removeprefix("file:"))) <= 6
+
+
+def test_stored_tables_go(spark):
+    import os
+
+    from terrazzo.llm.shared import remove, scratch, shared_folder, stored
+
+    with scratch(spark) as keep:
+        a, b = stored(spark.range(3), "go"), stored(spark.range(4), "stay")
+        keep(b)
+    folder = shared_folder(spark).removeprefix("file:")
+    names = os.listdir(folder)
+    assert not any(n.startswith("go-") for n in names) and any(n.startswith("stay-") for n in names) and b.count() == 4
+    remove(b, a)
+    assert not any(n.startswith("stay-") for n in os.listdir(folder))
