@@ -45,7 +45,7 @@ _U = np.uint64
 REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed with probability 3e-6
 WIDTH, SIMILARITY = 5, 0.8
 FEW, CENTRES = 8, 256  # texts of a bucket compared in the middle round, and in each last round
-PASSES = 3  # over the candidates, to settle texts without possible links
+PASSES, MOST_LEFT = 3, 0.9  # over the candidates, to settle texts without possible links, while each settles a tenth of what is left
 BLOCK = 24 << 20  # bytes of text for each block, and for each shard
 SALT_ROWS, SALT_BYTES = 512, 4 << 20  # of a bucket under one key
 GROUP = 16 << 20  # bytes of text compared in one task
@@ -324,8 +324,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     least = F.greatest(F.col("__m"), F.col("s"), F.lit(similarity) * F.col("n"))  # windows that a partner has at least
     about = sketch.select(F.col("id").alias("__id"), "b", "bands", "sig")
-    state, live = buckets, texts
-    for again in range(PASSES):  # what goes in one pass leaves others without company in the next
+    state, live, rows_left = buckets, texts, buckets.count()
+    for _ in range(PASSES):  # what goes in one pass leaves others without company in the next
         size = text_bytes(live, "text")
         blocks = shards = parts_for(spark, size, BLOCK)
         support = exchange(
@@ -335,13 +335,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         known = stored(state.select("rep", "key", "salts").join(support, F.col("rep") == F.col("__rep")).drop("__rep"), "known")
         near = _to_members(known, _by_bucket(known, F.min("n").alias("__m"))).where(possible(F.col("s"), F.col("n"), least)).drop("__m")
         near = stored(near.withColumn("comp", F.col("rep")), "near")
-        last, state = state, _open(near)
-        if again == PASSES - 1:
-            state = state.join(about, F.col("rep") == F.col("__id")).drop("__id")
-        state = stored(state, "state")
+        last, state = state, stored(_open(near), "state")
         remove(last, known, near)
+        rows_before, rows_left = rows_left, state.count()
+        if rows_left > MOST_LEFT * rows_before:
+            break
         live = texts.join(state.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi")
 
+    last, state = state, stored(state.join(about, F.col("rep") == F.col("__id")).drop("__id"), "state")
+    remove(last)
     joined = links = None
     enough, turn = least_matches(similarity), 0  # turns: one centre; outsiders with a few of the commonest component; then CENTRES at a time
     while not state.isEmpty():
