@@ -11,7 +11,8 @@ vanish; a passage shorter than q is sought exactly.
 The passages are indexed in blocks of bounded size; every block goes over all documents once, so
 neither the index nor a broadcast grows with the benchmark. Documents are not shuffled.
 
-Cases: null, empty and letterless passages match nothing, as do such texts; passages that read the
+Cases: null, empty and letterless passages match nothing, as do such texts; a very long text is
+searched whole, by itself; of places that take as many edits the first counts; passages that read the
 same are sought once and reported under each id; rows that repeat an id are searched each; an
 empty table on either side gives an empty result; other columns are not read.
 """
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import codes, word_table
-from .scan import SLICE, prefix, release, span_hash
+from .scan import SLICE, prefix, release, span_hash, trim
 
 _U = np.uint64
 Q = 7
 EDITS = 0.12  # of a passage's length
-HITS = 2_000_000  # shared q-grams handled at a time; a text with more goes alone
+HITS = 500_000  # shared q-grams handled at a time; a text with more goes alone
 BLOCK = 2_000_000  # characters of passages indexed at a time
 
 
@@ -252,6 +253,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
                         rows += [(at + i, item, a, b, edits) for item in index.value.ids[passage]]
                 where, items, a, b, edits = zip(*rows) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), pa.array(items, item_kind), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(edits, pa.int32())], names=["doc_id", "item_id", "start", "end", "edits"])
+                trim()
 
         out.append(docs.select(doc_id, text).mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, out)
@@ -269,6 +271,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                 for at, part in _parts([t or "" for t in batch.column(source).to_pylist()]):
                     clean[[at + hit[0] for hit in index.value.search(part)]] = False
                 yield batch.filter(pa.array(clean))
+                trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -46,9 +46,9 @@ REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed wit
 WIDTH, SIMILARITY = 5, 0.8
 FEW, CENTRES = 8, 256  # texts of a bucket compared in the middle round, and in each last round
 PASSES, MOST_LEFT = 3, 0.9  # over the candidates, to settle texts without possible links, while each settles a tenth of what is left
-BLOCK = 24 << 20  # bytes of text for each block, and for each shard
-SALT_ROWS, SALT_BYTES = 512, 4 << 20  # of a bucket under one key
-GROUP = 16 << 20  # bytes of text compared in one task
+BLOCK = 12 << 20  # bytes of text for each block, and for each shard
+SALT_ROWS, SALT_BYTES = 128, 4 << 20  # of a bucket under one key
+GROUP = 8 << 20  # bytes of text compared in one task
 RULED_OUT = 1e-7  # chance that the signatures of a pair of just the similarity rule it out
 
 

@@ -10,7 +10,8 @@ Token identifiers come from the vocabulary file's own library. Words recur, so t
 words and of lower-cased pretokens are kept in bounded tables; new pretokens go to the library in
 one call for many.
 
-Cases: a null or empty text is the single end identifier; rows that repeat an id are packed each;
+Cases: a null or empty text is the single end identifier; a very long text is tokenised whole and cut
+into pieces; pieces of one length go in the order of their rows; rows that repeat an id are packed each;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .scan import register_cache
 from .shared import stored
 
-HELD = 400_000  # entries of each half of a worker's tables
+HELD = 300_000  # entries of each half of a worker's tables
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
 SLACK = 32  # a bin with fewer free tokens is nearly full
@@ -114,9 +115,8 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def _forget() -> bool:
-    held = any(e.words.new for e in _encoders.values())
-    for e in _encoders.values():
-        e.words, e.pretokens = _Recent(), _Recent()
+    held = bool(_encoders)
+    _encoders.clear()
     return held
 
 

@@ -161,6 +161,9 @@ def register_cache(clear) -> None:
 
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
