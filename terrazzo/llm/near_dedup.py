@@ -45,7 +45,7 @@ _U = np.uint64
 REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed with probability 3e-6
 WIDTH, SIMILARITY = 5, 0.8
 FEW, CENTRES = 8, 256  # texts of a bucket compared in the middle round, and in each last round
-PASSES, MOST_LEFT = 3, 0.9  # over the candidates, to settle texts without possible links, while each settles a tenth of what is left
+PASSES = 2  # over the candidates, to settle texts without possible links
 BLOCK = 12 << 20  # bytes of text for each block, and for each shard
 SALT_ROWS, SALT_BYTES = 128, 4 << 20  # of a bucket under one key
 GROUP = 8 << 20  # bytes of text compared in one task
@@ -292,6 +292,13 @@ def _first(state: DataFrame, k: int) -> DataFrame:
     return state.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k).drop("__rank")
 
 
+def _needed(texts: DataFrame, state: DataFrame) -> DataFrame:
+    """The texts (id, text) that still have rows in state; the table given goes."""
+    made = stored(texts.join(state.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi"), "texts")
+    remove(texts)
+    return made
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the least id of its class), n_compared_links and kept.
 
@@ -324,12 +331,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     least = F.greatest(F.col("__m"), F.col("s"), F.lit(similarity) * F.col("n"))  # windows that a partner has at least
     about = sketch.select(F.col("id").alias("__id"), "b", "bands", "sig")
-    state, live, rows_left = buckets, texts, buckets.count()
+    state = buckets
     for _ in range(PASSES):  # what goes in one pass leaves others without company in the next
-        size = text_bytes(live, "text")
-        blocks = shards = parts_for(spark, size, BLOCK)
+        shards = parts_for(spark, text_bytes(texts, "text"), BLOCK)
         support = exchange(
-            live, F.col("id"), blocks, shards, _ask(shards), "__block int, shard int, keys binary, n binary",
+            texts, F.col("id"), shards, shards, _ask(shards), "__block int, shard int, keys binary, n binary",
             _tell, "__block int, shard int, shared binary", _support(shards), f"rep {id_type}, n bigint, s bigint",
         ).select(F.col("rep").alias("__rep"), "n", "s")
         known = stored(state.select("rep", "key", "salts").join(support, F.col("rep") == F.col("__rep")).drop("__rep"), "known")
@@ -337,10 +343,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         near = stored(near.withColumn("comp", F.col("rep")), "near")
         last, state = state, stored(_open(near), "state")
         remove(last, known, near)
-        rows_before, rows_left = rows_left, state.count()
-        if rows_left > MOST_LEFT * rows_before:
-            break
-        live = texts.join(state.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi")
+        texts = _needed(texts, state)
 
     last, state = state, stored(state.join(about, F.col("rep") == F.col("__id")).drop("__id"), "state")
     remove(last)
@@ -382,6 +385,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         rest = stored(rest, "rest")
         last, state = state, stored(_open(rest), "state")
         remove(last, rest, pairs, centres, before, *([ranked] if turn else []))
+        texts = _needed(texts, state)
         turn += 1
 
     remove(texts, state)
