@@ -13,7 +13,6 @@ def reservoir(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
 
 
 def bernoulli(df: DataFrame, ratio: float, seed: int = 42, key: str | None = None) -> DataFrame:
-    """Every row with the probability `ratio`, told by a hash of its key where one is named."""
-    if key is None:
-        return df.sample(False, ratio, seed)
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(ratio * (1 << 30)))
+    """Every row with the probability `ratio`, told by a hash of its key, or of all its columns; equal rows go together."""
+    h = F.xxhash64(*([key] if key else df.columns), F.lit(seed))
+    return df.where(F.pmod(h, F.lit(1 << 30)) < int(ratio * (1 << 30)))

@@ -25,6 +25,15 @@ def histogram_summary(cells: DataFrame) -> DataFrame:
     return cells.agg(F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint").alias("sum"), F.count("*").alias("nonzero"))
 
 
+def cells_box(cells: DataFrame, zoom: int = GRID_ZOOM) -> DataFrame:
+    """The Mercator box of the cells that have vertices, as one row; nulls without any."""
+    size = 2 * HALF / (1 << zoom)
+    return cells.agg(
+        (F.min("ix") * size - HALF).alias("xmin"), (F.lit(HALF) - (F.max("iy") + 1) * size).alias("ymin"),
+        ((F.max("ix") + 1) * size - HALF).alias("xmax"), (F.lit(HALF) - F.min("iy") * size).alias("ymax"),
+    )
+
+
 def pyramid(cells: DataFrame, last: int, zoom: int = GRID_ZOOM) -> DataFrame:
     """Counts (z, x, y, cnt) of all tiles with vertices at zooms 0..last, last at most the grid's zoom.
 
@@ -48,7 +57,7 @@ def overzoom(tiles: DataFrame, cells: DataFrame, zoom: int = GRID_ZOOM) -> DataF
 
 
 def nonempty_tiles(counts: DataFrame, threshold: float = 0) -> DataFrame:
-    """Tiles that count, of those with vertices: counts of at least the threshold."""
+    """Tiles that count, of those with vertices: counts of at least the threshold (all tiles count where that is 0)."""
     return counts.where(F.col("cnt") >= threshold).select("z", "x", "y")
 
 
@@ -68,37 +77,51 @@ def tile_range(box: Box, z: Column | int) -> tuple[Column, Column, Column, Colum
     return tile_x(x0, z), tile_x(x1, z), tile_y(y1, z), tile_y(y0, z)
 
 
-def tile_cover(features: DataFrame, box: Box, zooms: range, kept: DataFrame | None = None) -> DataFrame:
-    """One row (all columns, z, x, y) for each tile that the feature's lon/lat box meets.
+def _metres(box: Box) -> Column:
+    x0, y0, x1, y1 = box.columns()
+    return F.struct(mercator_x(x0).alias("xmin"), mercator_y(y0).alias("ymin"), mercator_x(x1).alias("xmax"), mercator_y(y1).alias("ymax"))
+
+
+def tile_cover(features: DataFrame, box: Box, zooms: range) -> DataFrame:
+    """One row (all columns, z, x, y) for each tile that the feature's lon/lat box meets."""
+    a, b, c, d = tile_range(Box.of("__m"), F.col("z"))
+    out = features.withColumn("__m", _metres(box)).withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[-1]))))
+    return out.withColumn("x", F.explode(F.sequence(a, b))).withColumn("y", F.explode(F.sequence(c, d))).drop("__m")
 
-    kept (z, x, y) limits the tiles. It is descended level by level, a tile's children only where
-    the tile itself is kept, so a large box does not unfold into tiles that do not count; that
-    needs counts that do not fall towards the root, as those of pyramid() do.
+
+SMALL_ZOOM = 8  # a level has 4**8 tiles at most, a table of about a megabyte
+
+
+def tile_cover_counted(features: DataFrame, box: Box, zooms: range, cells: DataFrame, threshold: float, grid: int = GRID_ZOOM) -> DataFrame:
+    """The rows of tile_cover whose tile counts: its vertices, of the grid's cells, reach the threshold.
+
+    A tile beyond the grid has an even share of its cell. With a threshold of 0 or less every tile
+    counts. Else counts never grow towards the leaves, so the tiles are descended in one chain, a
+    tile's children only where the tile counts: a large box does not unfold into tiles that do not.
+    Levels of up to SMALL_ZOOM are met without a shuffle, as their size is bounded.
     """
-    x0, y0, x1, y1 = box.columns()
-    m = F.struct(mercator_x(x0).alias("xmin"), mercator_y(y0).alias("ymin"), mercator_x(x1).alias("xmax"), mercator_y(y1).alias("ymax"))
-    at = features.withColumn("__m", m)
-    if kept is None:
-        a, b, c, d = tile_range(Box.of("__m"), F.col("z"))
-        out = at.withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[-1]))))
-        return out.withColumn("x", F.explode(F.sequence(a, b))).withColumn("y", F.explode(F.sequence(c, d))).drop("__m")
-    levels, level = [], None
-    for z in range(zooms[-1] + 1):
-        a, b, c, d = tile_range(Box.of("__m"), z)
-        if level is None:
-            level = at.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    if threshold <= 0:
+        return tile_cover(features, box, zooms)
+    last = zooms[-1]
+    kept = pyramid(cells, min(last, grid), grid).where(F.col("cnt") >= threshold)
+    of = lambda z, x, y, cnt: F.struct(z.cast("int").alias("z"), x.cast("int").alias("x"), y.cast("int").alias("y"), cnt.cast("bigint").alias("cnt"))
+    rows = features.withColumn("__m", _metres(box)).withColumn("__t", of(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
+    for z in range(last + 1):
+        at = F.col("__t")
+        if z:
+            a, b, c, d = tile_range(Box.of("__m"), z)
+            x0, x1, y0, y1 = F.greatest(a, at["x"] * 2), F.least(b, at["x"] * 2 + 1), F.greatest(c, at["y"] * 2), F.least(d, at["y"] * 2 + 1)
+            below = F.flatten(F.transform(F.sequence(x0, x1), lambda x: F.transform(F.sequence(y0, y1), lambda y: of(F.lit(z), x, y, at["cnt"]))))
+            some = (at["z"] == z - 1) & (x0 <= x1) & (y0 <= y1)
+            rows = rows.withColumn("__t", F.explode(F.when(some, F.concat(F.array(at), below)).otherwise(F.array(at))))
+        if z <= grid:
+            level = kept.where(F.col("z") == z).select(F.col("z").alias("__z"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("cnt").alias("__n"))
+            level = F.broadcast(level) if z <= SMALL_ZOOM else level
+            rows = rows.join(level, (at["z"] == F.col("__z")) & (at["x"] == F.col("__x")) & (at["y"] == F.col("__y")), "left")
+            rows = rows.where((at["z"] < z) | F.col("__n").isNotNull()).withColumn("__t", of(at["z"], at["x"], at["y"], F.coalesce("__n", at["cnt"]))).drop("__z", "__x", "__y", "__n")
         else:
-            xs = F.sequence(F.greatest(a, F.col("x") * 2), F.least(b, F.col("x") * 2 + 1))
-            ys = F.sequence(F.greatest(c, F.col("y") * 2), F.least(d, F.col("y") * 2 + 1))
-            some = (F.greatest(a, F.col("x") * 2) <= F.least(b, F.col("x") * 2 + 1)) & (F.greatest(c, F.col("y") * 2) <= F.least(d, F.col("y") * 2 + 1))
-            level = level.where(some).withColumn("__xs", xs).withColumn("__ys", ys).withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys")).drop("__xs", "__ys")
-        level = level.join(kept.where(F.col("z") == z).select("x", "y"), ["x", "y"], "left_semi")
-        if z >= zooms[0]:
-            levels.append(level.withColumn("z", F.lit(z)))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out.drop("__m")
+            rows = rows.where((at["z"] < z) | (at["cnt"] / F.lit(4.0 ** (z - grid)) >= threshold))
+    return rows.where(F.col("__t.z") >= zooms[0]).withColumns({c: F.col("__t")[c] for c in ("z", "x", "y")}).drop("__m", "__t")
 
 
 def cap_features(features: DataFrame, cap: int, by: tuple[str, ...] = ("z", "x", "y"), order: tuple[str, ...] = ("id",), seed: int = 0) -> DataFrame:

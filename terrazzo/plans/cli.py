@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import logging
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -46,8 +45,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def info(path: str) -> dict:
-    d = Dataset(Path(path))
-    return {"path": str(d.path), "tiles": d.num_tiles, "bbox": d.bbox, "zoom_levels": d.zoom_levels, "histograms": d.has_histograms, "mvt": d.has_mvt, "stats": d.has_stats, "size": format_size(d.size)}
+    d = Dataset(path)
+    return {"path": d.path, "tiles": d.num_tiles, "bbox": d.bbox, "zoom_levels": d.zoom_levels, "histograms": d.has_histograms, "mvt": d.has_mvt, "stats": d.has_stats, "size": format_size(d.size)}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrazzo.functions.boxes import Box, clipped, contains, contains_point, in_tile, intersects, morton, overlaps, parsed_file_name, scaled, tile_box, tile_file_name
 from terrazzo.functions.mercator import HALF, MAX_LAT, lat_of, lon_of, mercator_x, mercator_y, tile_x, tile_y
@@ -233,7 +235,22 @@ WITH p AS ({_PYRAMID}), t AS (SELECT * FROM {_cover_sql('8', 'CAST(pow(2, z) AS
 SELECT t.s_suppkey, p.z, p.x, p.y FROM t JOIN p ON p.z = t.z AND p.x BETWEEN t.a AND t.b AND p.y BETWEEN t.c AND t.d WHERE cnt >= 5
 """)
 def tile_cover_nonempty(spark, sf_dir):
-    return tiles.tile_cover(rects(spark, sf_dir), RECT(), range(8), tiles.nonempty_tiles(_event_pyramid(spark, sf_dir), 5)).select("s_suppkey", "z", "x", "y")
+    return tiles.tile_cover_counted(rects(spark, sf_dir), RECT(), range(8), tiles.vertex_histogram(events(spark, sf_dir)), 5).select("s_suppkey", "z", "x", "y")
+
+
+@register("tile_cover_threshold0", f"SELECT s_suppkey, CAST(z AS INTEGER) AS z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT s_suppkey, z, c, d, unnest(range(a, b + 1)) AS x FROM {_cover_sql('7', 'CAST(pow(2, z) AS INTEGER)')} t) u, LATERAL (SELECT unnest(range(c, d + 1)) AS y) v")
+def tile_cover_threshold0(spark, sf_dir):
+    return tiles.tile_cover_counted(rects(spark, sf_dir), RECT(), range(7), tiles.vertex_histogram(events(spark, sf_dir)), 0).select("s_suppkey", "z", "x", "y")
+
+
+@register("tile_cover_z14", f"""
+WITH h AS ({_cells_sql(EVENT)}), q AS (SELECT CAST(unnest(range(13, 15)) AS INTEGER) AS z), t AS (SELECT * FROM {_cover_sql('15', 'CAST(pow(2, z) AS INTEGER)')} t WHERE z >= 13),
+u AS (SELECT h.ix, h.iy, h.cnt, q.z, CAST(pow(2, q.z - 12) AS INTEGER) AS n FROM h, q WHERE h.cnt / pow(4, q.z - 12) >= 0.05),
+v AS (SELECT z, cnt, iy, n, ix * n + i AS x FROM u, LATERAL (SELECT unnest(range(n)) AS i) a), w AS (SELECT z, x, iy * n + j AS y FROM v, LATERAL (SELECT unnest(range(n)) AS j) b)
+SELECT t.s_suppkey, w.z, CAST(w.x AS INTEGER) AS x, CAST(w.y AS INTEGER) AS y FROM t JOIN w ON w.z = t.z AND w.x BETWEEN t.a AND t.b AND w.y BETWEEN t.c AND t.d
+""")
+def tile_cover_z14(spark, sf_dir):
+    return tiles.tile_cover_counted(rects(spark, sf_dir), RECT(), range(13, 15), tiles.vertex_histogram(events(spark, sf_dir)), 0.05).select("s_suppkey", "z", "x", "y")
 
 
 @register("hist_overzoom", f"SELECT DISTINCT 14 AS z, 4*ix + 1 AS x, 4*iy + 2 AS y, cnt/16.0e0 AS cnt FROM ({_cells_sql(EVENT)}) h")
@@ -395,12 +412,16 @@ def filename_roundtrip(spark, sf_dir):
     return named.select("partition_id", "name", back.xmin.alias("xmin"), back.ymax.alias("ymax"))
 
 
-@register("catalog_search", "SELECT r_name AS id, upper(substr(r_name, 1, 1)) || lower(replace(substr(r_name, 2), '_', ' ')) AS name FROM region WHERE lower(r_name) LIKE '%a%' AND r_name NOT LIKE '% %' UNION ALL SELECT n_name, upper(substr(n_name, 1, 1)) || lower(replace(substr(n_name, 2), '_', ' ')) FROM nation WHERE lower(n_name) LIKE '%a%' AND n_name NOT LIKE '% %'")
+_NAMES = "SELECT r_name AS id FROM region UNION ALL SELECT n_name FROM nation"
+_TITLE = "list_aggregate(list_transform(string_split(replace(id, '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), 'string_agg', ' ')"
+
+
+@register("catalog_search", f"SELECT id, {_TITLE} AS name FROM ({_NAMES}) n WHERE lower(id) LIKE '%a%'")
 def catalog_search(spark, sf_dir):
     from terrazzo.sources.catalog import display_name, name_matches
 
     both = table(spark, sf_dir, "region").select(F.col("r_name").alias("id")).union(table(spark, sf_dir, "nation").select("n_name"))
-    return both.where(name_matches(F.col("id"), "A") & ~F.col("id").contains(" ")).select("id", display_name(F.col("id")).alias("name"))
+    return both.where(name_matches(F.col("id"), "A")).select("id", display_name(F.col("id")).alias("name"))
 
 
 @register("union_promote", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
@@ -440,6 +461,31 @@ def wkb_roundtrip(spark, sf_dir):
     return g.select("s_suppkey", "geom_type", *(F.round(F.col("bbox")[c], 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
+@register("geojson_scan")
+def geojson_scan(spark, sf_dir):
+    """The supplier rectangles as GeoJSON text and back: type, vertices and box."""
+    from terrazzo.functions.udfs import to_geojson, with_geometry_columns
+    from terrazzo.sources.geojson import features_of
+
+    text = _wkb_rects(spark, sf_dir).select(F.concat(F.lit('{"type":"Feature","properties":{"id":'), "s_suppkey", F.lit('},"geometry":'), to_geojson("geometry"), F.lit("}")).alias("value"))
+    g = with_geometry_columns(features_of(text.select(F.parse_json("value").alias("f")), T.StructType([T.StructField("id", T.LongType())])))
+    return g.select("id", "geom_type", *(F.round(F.col("bbox")[c], 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
+@register("simplify_line")
+def simplify_line(spark, sf_dir):
+    """The customers of each hundred keys as a line in order of their keys, and what simplification leaves of it."""
+    from terrazzo.functions import shapes
+
+    @F.pandas_udf("int")
+    def left(lines: pd.Series) -> pd.Series:
+        return pd.Series([len(shapes.simplify_line([[p["lon"], p["lat"]] for p in line], 5.0)) for line in lines])
+
+    point = customers(spark, sf_dir).select(F.floor(F.col("c_custkey") / 100).alias("line_id"), F.struct("c_custkey", "lon", "lat").alias("p"))
+    lines = point.groupBy("line_id").agg(F.array_sort(F.collect_list("p")).alias("line"))  # a hundred points each
+    return lines.select("line_id", F.size("line").alias("n"), left(F.col("line")).alias("n_left"))
+
+
 @register("mvt_encode")
 def mvt_encode(spark, sf_dir):
     from terrazzo.functions.udfs import with_geometry_columns

@@ -6,12 +6,12 @@ import json
 import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.functions.boxes import Box, contains_point, intersects
+from terrazzo.sources import files
 
 MIME = {"csv": "text/csv", "geojson": "application/geo+json", "json": "application/json"}
 
@@ -39,12 +39,11 @@ def read_tiles(spark: SparkSession, dataset: str, box: Box | None = None) -> Dat
     """Features of a dataset, from the tile files whose manifest box meets the box; rows outside go as well."""
     from terrazzo.sources.catalog import Dataset
 
-    d = Dataset(Path(dataset))
+    d = Dataset(dataset)
     hit = [m for m in d.manifest if box is None or (m["xmin"] is not None and m["xmax"] >= box.xmin and m["xmin"] <= box.xmax and m["ymax"] >= box.ymin and m["ymin"] <= box.ymax)]
-    folder = d.path / "parquet_tiles"
     if not d.manifest:
         raise FileNotFoundError(f"{dataset} has no manifest")
-    df = spark.read.parquet(*(str(folder / m["file"]) for m in hit or d.manifest[:1]))
+    df = spark.read.parquet(*(files.join(d.path, "parquet_tiles", m["file"]) for m in hit or d.manifest[:1]))
     if box is None:
         return df
     return df.where(intersects(Box.of("bbox"), box)) if hit else df.limit(0)
@@ -90,7 +89,7 @@ def sample(spark: SparkSession, dataset: str, box: Box) -> DataFrame:
 
 def attribute_stats(dataset: str, names: list[str] | None = None) -> list[dict]:
     """The statistics of a dataset's attributes, or of those named."""
-    found = json.loads((Path(dataset) / "stats" / "attributes.json").read_text())["attributes"]
+    found = json.loads(files.read_text(files.join(dataset, "stats", "attributes.json")))["attributes"]
     return found if names is None else [a for a in found if a["name"] in set(names)]
 
 
@@ -123,8 +122,8 @@ def suggest_styles(dataset: str, model: Callable[[str], str], names: list[str] |
 class TileServer:
     """Tiles of a dataset: from memory, then from disk, then made and kept in both."""
 
-    def __init__(self, spark: SparkSession, dataset: str, cache_size: int = 256):
-        self.spark, self.dataset, self.size = spark, dataset, cache_size
+    def __init__(self, spark: SparkSession, dataset: str, cache_size: int = 256, cap: int = 25_000):
+        self.spark, self.dataset, self.size, self.cap = spark, str(dataset), cache_size, cap
         self.held: OrderedDict[tuple[int, int, int], bytes] = OrderedDict()
 
     def tile(self, z: int, x: int, y: int) -> bytes:
@@ -132,21 +131,21 @@ class TileServer:
         if key in self.held:
             self.held.move_to_end(key)
             return self.held[key]
-        path = Path(self.dataset) / "mvt" / str(z) / str(x) / f"{y}.mvt"
-        data = path.read_bytes() if path.exists() else self._make(z, x, y, path)
+        path = files.join(self.dataset, "mvt", str(z), str(x), f"{y}.mvt")
+        data = files.read_bytes(path) if files.exists(path) else self._make(z, x, y, path)
         self.held[key] = data
         if len(self.held) > self.size:
             self.held.popitem(last=False)
         return data
 
-    def _make(self, z: int, x: int, y: int, path: Path) -> bytes:
+    def _make(self, z: int, x: int, y: int, path: str) -> bytes:
         from terrazzo.functions import mvt
 
         b = mvt.tile_lonlat(z, x, y)
         found = read_tiles(self.spark, self.dataset, Box(*b))
         inner = [c for c in found.columns if c not in ("geometry", "bbox", "geom_type", "n_points", "partition_id")]
-        rows = found.select("geometry", F.to_json(F.struct(*inner)).alias("p") if inner else F.lit("{}").alias("p")).collect()  # one tile
+        props = F.to_json(F.struct(*inner)) if inner else F.lit("{}")
+        rows = found.select("geometry", props.alias("p")).orderBy(F.xxhash64("geometry", "p")).limit(self.cap).collect()  # as many features as a rendered tile has at most
         data = mvt.render(z, x, y, [(bytes(r["geometry"]), json.loads(r["p"])) for r in rows], simplify=False, pad=0)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(data)
+        files.write_bytes(path, data)
         return data

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 _UNITS = {"b": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "tb": 1 << 40}
 
 
@@ -36,40 +38,45 @@ def display_name(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-def _files(folder: Path) -> list[Path]:
-    return [p for p in folder.rglob("*") if p.is_file()]
-
-
 def datasets(spark: SparkSession, root: str, q: str = "") -> DataFrame:
     """id, name, size and file_count of the datasets under root whose name holds q, by id."""
     rows = []
-    for d in sorted(Path(root).iterdir()):
-        if d.is_dir():
-            files = _files(d)
-            rows.append((d.name, sum(p.stat().st_size for p in files), len(files)))
+    for d in files.listing(root):
+        if d.type == fs.FileType.Directory:
+            held = [f for f in files.listing(files.join(root, d.base_name), deep=True) if f.is_file]
+            rows.append((d.base_name, sum(f.size for f in held), len(held)))
     df = spark.createDataFrame(rows, "id string, size bigint, file_count int")
     return df.where(name_matches(F.col("id"), q)).select("id", display_name(F.col("id")).alias("name"), "size", "file_count").orderBy("id")
 
 
 @dataclass
 class Dataset:
-    """A dataset folder: parquet_tiles/, histograms/, mvt/ and stats/."""
+    """A dataset folder, a path or a URI: parquet_tiles/, histograms/, mvt/ and stats/."""
 
-    path: Path
+    path: str
 
     def __post_init__(self):
-        self.path = Path(self.path)
-        if not self.path.is_dir():
-            raise FileNotFoundError(str(self.path))
+        self.path = str(self.path)
+        if files.kind(self.path) != "folder":
+            raise FileNotFoundError(self.path)
+
+    def _held(self, part: str) -> list[fs.FileInfo]:
+        return files.listing(files.join(self.path, part))
 
     @property
     def num_tiles(self) -> int:
-        return len(list((self.path / "parquet_tiles").glob("*.parquet")))
+        return sum(f.base_name.endswith(".parquet") for f in self._held("parquet_tiles"))
 
     @property
     def manifest(self) -> list[dict]:
-        f = self.path / "manifest.json"
-        return json.loads(f.read_text()) if f.exists() else []
+        f = files.join(self.path, "manifest.json")
+        return json.loads(files.read_text(f)) if files.exists(f) else []
+
+    def partition_box(self, tile_id: int | str) -> tuple[float, float, float, float] | None:
+        """The box of a partition by its number, as 7, "7" or "tile_000007"; None for one that does not exist or has no geometry."""
+        m = re.fullmatch(r"(?:tile_)?(\d+).*", str(tile_id))
+        found = [x for x in self.manifest if m and x["partition_id"] == int(m[1]) and x["xmin"] is not None]
+        return tuple(found[0][c] for c in ("xmin", "ymin", "xmax", "ymax")) if found else None
 
     @property
     def bbox(self) -> tuple[float, float, float, float] | None:
@@ -78,12 +85,11 @@ class Dataset:
 
     @property
     def zoom_levels(self) -> list[int]:
-        folder = self.path / "mvt"
-        return sorted(int(p.name) for p in folder.iterdir() if p.name.isdigit()) if folder.is_dir() else []
+        return sorted(int(f.base_name) for f in self._held("mvt") if f.base_name.isdigit())
 
     @property
     def has_histograms(self) -> bool:
-        return any((self.path / "histograms").glob("*"))
+        return bool(self._held("histograms"))
 
     @property
     def has_mvt(self) -> bool:
@@ -91,8 +97,8 @@ class Dataset:
 
     @property
     def has_stats(self) -> bool:
-        return (self.path / "stats" / "attributes.json").exists()
+        return files.exists(files.join(self.path, "stats", "attributes.json"))
 
     @property
     def size(self) -> int:
-        return sum(p.stat().st_size for p in _files(self.path))
+        return sum(f.size for f in files.listing(self.path, deep=True) if f.is_file)

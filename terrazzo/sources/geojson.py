@@ -19,7 +19,7 @@ def is_geojson(path: str) -> bool:
     return path.lower().endswith(SUFFIXES)
 
 
-def _head(spark: SparkSession, path: str) -> str:
+def head(spark: SparkSession, path: str) -> str:
     """The first bytes of the first file, through Spark's file systems."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -33,9 +33,9 @@ def _head(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def is_lines(head: str) -> bool:
+def is_lines(text: str) -> bool:
     """Whether the first line that is not blank is a whole feature."""
-    for line in head.splitlines():
+    for line in text.splitlines():
         if line.strip():
             try:
                 got = json.loads(line)
@@ -45,9 +45,9 @@ def is_lines(head: str) -> bool:
     return False
 
 
-def crs_hint(head: str) -> str | None:
+def crs_hint(text: str) -> str | None:
     """The crs name that a collection states before its features."""
-    before = head.split('"features"')[0]
+    before = text.split('"features"')[0]
     m = re.search(r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]+)"', before, re.S)
     return m[1] if m else None
 
@@ -75,12 +75,17 @@ def read_geojson(spark: SparkSession, path: str, properties: T.StructType | None
     values are cast to its types, what is missing or does not cast is null, and other properties
     are dropped.
     """
-    if is_lines(_head(spark, path)):
+    if is_lines(head(spark, path)):
         lines = spark.read.text(path).where(F.trim("value") != "")
         feature = lines.select(F.parse_json("value").alias("f"))
     else:
         whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
         feature = whole.select(F.explode(F.expr("cast(variant_get(v, '$.features') as array<variant>)")).alias("f"))
+    return features_of(feature, properties)
+
+
+def features_of(feature: DataFrame, properties: T.StructType | None = None) -> DataFrame:
+    """Properties as columns, then geometry as WKB, of features as variants in the column f."""
     rows = feature.select(F.expr("cast(variant_get(f, '$.properties') as map<string, variant>)").alias("p"), F.expr("to_json(variant_get(f, '$.geometry'))").alias("g"))
     if properties is None:
         properties = _schema(feature.agg(F.schema_of_variant_agg(F.expr("variant_get(f, '$.properties')"))).first()[0])

@@ -7,13 +7,13 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrazzo.functions.boxes import Box
 from terrazzo.operators.assign import Boxes
 
+from . import files
 from .geojson import is_geojson, read_geojson
 
 
@@ -61,7 +61,7 @@ def write_tiles(features: DataFrame, folder: str, order: list, geometry: str = "
     schema = features.drop(partition, *hidden).limit(0).toArrow().schema
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = files.store(folder)
         store.create_dir(root, recursive=True)
         state: dict = {}
 
@@ -104,7 +104,3 @@ def write_tiles(features: DataFrame, folder: str, order: list, geometry: str = "
     dealt = features.repartition(F.col(partition)).sortWithinPartitions(partition, *order)
     return [r.asDict() for r in dealt.select(*features.columns).mapInArrow(run, MANIFEST).orderBy(partition).collect()]  # a row for each file
 
-
-def pruned(manifest: list[dict], box: Box) -> list[dict]:
-    """The files whose box meets the box."""
-    return [m for m in manifest if m["xmin"] is not None and m["xmax"] >= box.xmin and m["xmin"] <= box.xmax and m["ymax"] >= box.ymin and m["ymin"] <= box.ymax]

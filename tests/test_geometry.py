@@ -145,3 +145,129 @@ def test_build_serve_and_stream(spark, tmp_path):
     start(stream_assigned(spark, str(tmp_path / "landing"), points.schema, boxes), str(tmp_path / "sunk"), str(tmp_path / "log")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "sunk")).count() == 50
     assert assign_partitions(points, boxes).where("partition_id = 1").count() == spark.read.parquet(str(tmp_path / "sunk")).where("partition_id = 1").count()
+
+
+def _rect(x0, y0, x1, y1):
+    return {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}
+
+
+def test_all_covered_tiles_are_written(spark, tmp_path):
+    import json
+    import os
+
+    from terrazzo.plans import build
+
+    (tmp_path / "in.geojsonl").write_text(json.dumps({"type": "Feature", "properties": {"a": 1}, "geometry": _rect(-120, -60, 120, 60)}))
+    out = str(tmp_path / "out")
+    build.tile(spark, str(tmp_path / "in.geojsonl"), out, num_tiles=1)
+    made = build.generate_mvt(spark, out, zoom=4)
+    at = lambda z: sum(len(f) for _, _, f in os.walk(f"{out}/mvt/{z}"))
+    assert at(4) == 96 and made.tile_count == sum(at(z) for z in range(5)) and made.zoom_levels == [0, 1, 2, 3, 4]
+    assert build.generate_mvt(spark, out, zoom=2, threshold=1).zoom_levels == [0, 1, 2] and not os.path.exists(f"{out}/mvt/4")
+    about = json.loads((tmp_path / "out" / "histograms" / "global.json").read_text())
+    assert about["shape"] == [4096, 4096] and about["sum"] == 5 and abs(about["bbox"][0] + 120 * mvt.HALF / 180) < 20_000
+
+
+def test_tiles_beyond_the_grid_take_their_share_of_a_cell(spark):
+    from terrazzo.functions.boxes import Box
+    from terrazzo.operators import tiles
+
+    cells = spark.createDataFrame([(2000, 2100, 64), (2000, 2101, 15)], "iy int, ix int, cnt bigint")
+    size = 360 / 4096
+    x = -180 + 2100 * size
+    y = mvt.tile_lonlat(12, 2100, 2000)
+    f = spark.createDataFrame([(1, x, y[1], x + 2 * size, y[3])], "id int, xmin double, ymin double, xmax double, ymax double")
+    got = tiles.tile_cover_counted(f, Box.named(), range(12, 15), cells, 4).where("z = 14").collect()
+    assert {(r["x"] >> 2, r["y"] >> 2) for r in got} >= {(2100, 2000)} and not any(r["x"] >> 2 == 2101 for r in got) and len(got) >= 9
+    assert tiles.tile_cover_counted(f, Box.named(), range(12, 15), cells, 4.1).where("z = 14").isEmpty()
+
+
+def test_a_second_run_replaces_the_first(spark, tmp_path):
+    import json
+
+    from terrazzo.plans import build, serve
+    from terrazzo.sources.catalog import Dataset, datasets
+
+    random.seed(4)
+    f = [{"type": "Feature", "properties": {"id": i}, "geometry": {"type": "Point", "coordinates": [random.uniform(-90, 90), random.uniform(-60, 60)]}} for i in range(300)]
+    (tmp_path / "in.geojsonl").write_text("\n".join(map(json.dumps, f)))
+    out = "file://" + str(tmp_path / "sets" / "a_set")
+    for parts in (3, 7):
+        done = build.tile(spark, "file://" + str(tmp_path / "in.geojsonl"), out, num_tiles=parts)
+        assert spark.read.parquet(out + "/parquet_tiles").count() == 300 == done.total_rows
+        assert serve.attribute_stats(out, ["id"])[0]["stats"]["non_null_count"] == 300
+        d = Dataset(out)
+        assert d.num_tiles == done.num_files == len(d.manifest) and d.has_stats and d.has_histograms and d.size > 0
+    first = d.manifest[0]
+    assert d.partition_box(f"tile_{first['partition_id']:06d}") == d.partition_box(first["partition_id"]) == (first["xmin"], first["ymin"], first["xmax"], first["ymax"])
+    assert d.partition_box(10**6) is None and d.partition_box("none") is None
+    build.generate_mvt(spark, out, zoom=1)
+    assert d.zoom_levels == [0, 1] and len(serve.TileServer(spark, out).tile(0, 0, 0)) > 100
+    assert serve.features(spark, out).count() == 300
+    assert [(r["id"], r["name"]) for r in datasets(spark, "file://" + str(tmp_path / "sets"), "SET").collect()] == [("a_set", "A Set")]
+
+
+def test_metres_become_degrees_and_other_systems_raise(spark, tmp_path):
+    import json
+
+    from terrazzo.plans import build
+    from terrazzo.sources.crs import DEGREES, METRES, footer_crs, known
+
+    assert known(None) == known("urn:ogc:def:crs:OGC:1.3:CRS84") == known("epsg:4326") == known({"id": {"authority": "EPSG", "code": 4326}}) == DEGREES
+    assert known("urn:ogc:def:crs:EPSG::3857") == known("EPSG:3857") == METRES
+    lonlat = np.array([[10.0, 50.0], [-70.5, -33.25]])
+    features = [{"type": "Feature", "properties": {"id": i}, "geometry": {"type": "Point", "coordinates": p}} for i, p in enumerate(mvt.to_metres(lonlat).tolist())]
+    for crs, right in (("EPSG:3857", True), ("EPSG:25832", False)):
+        (tmp_path / "in.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": crs}}, "features": features}))
+        if not right:
+            with pytest.raises(ValueError):
+                build.tile(spark, str(tmp_path / "in.geojson"), str(tmp_path / "out"))
+            continue
+        build.tile(spark, str(tmp_path / "in.geojson"), str(tmp_path / "out"), num_tiles=1)
+        got = spark.read.parquet(str(tmp_path / "out" / "parquet_tiles")).orderBy("id").collect()
+        assert np.allclose([wkb.decode(bytes(r["geometry"]))[1] for r in got], lonlat) and np.allclose([r["bbox"]["xmin"] for r in got], lonlat[:, 0])
+    assert known(footer_crs(str(tmp_path / "out" / "parquet_tiles"))) == DEGREES
+
+
+def test_samples_follow_rows_not_places(spark, monkeypatch):
+    from terrazzo.operators import sampling
+    from terrazzo.plans import build
+
+    df = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 5D, cast(id as double) % 180) as cx", "if(id % 2 = 0, 5D, cast(id as double) % 80) as cy")
+    seen = []
+    monkeypatch.setattr(build, "partition_points", lambda p, parts, options=None: seen.append(p) or [(0, 0, 0, 1, 1)])
+    for seed in range(4):
+        build.build_index(df, 4, sample_cap=500, seed=seed)
+        assert 0.4 < (seen[-1][:, 0] == 5).mean() < 0.6 and len(seen[-1]) == 500
+    for key in (None, "id"):
+        a, b = (sampling.bernoulli(df.repartition(n), 0.2, 7, key) for n in (3, 5))
+        assert sorted(a.collect()) == sorted(b.collect()) and 600 < a.count() < 1000
+    assert sampling.bernoulli(df, 0.2, 8, "id").exceptAll(sampling.bernoulli(df, 0.2, 7, "id")).count() > 0
+    a, b = (sampling.reservoir(df.repartition(n), "id", 50, 3) for n in (2, 5))
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 50
+
+
+def test_functions_from_sql(spark):
+    from terrazzo.functions import udfs
+
+    udfs.register(spark)
+    row = spark.sql("""SELECT i.geom_type, i.n_points, i.cx, size(v) AS n, t FROM (SELECT tz_geometry_info(g) AS i, tz_vertices(g) AS v, tz_to_geojson(g) AS t
+        FROM (SELECT tz_from_geojson('{"type":"LineString","coordinates":[[0,0],[2,2]]}') AS g) a) b""").first()
+    assert (row["geom_type"], row["n_points"], row["cx"], row["n"]) == ("LineString", 2, 1.0, 2) and "LineString" in row["t"]
+    assert spark.sql("SELECT * FROM tz_tile_cover(1, -10D, -10D, 10D, 10D)").count() == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from terrazzo.plans import cli
+
+    (tmp_path / "in.geojsonl").write_text("\n".join(json.dumps({"type": "Feature", "properties": {"a": i}, "geometry": {"type": "Point", "coordinates": [i, i]}}) for i in range(9)))
+    args = vars(cli.parser().parse_args(["tile", "a", "b", "--num-tiles", "3", "--sort", "none"]))
+    assert args["num_tiles"] == 3 and args["sort"] == "none" and args["partition_size"] == "1gb"
+    from terrazzo.plans import build
+
+    build.build(spark, str(tmp_path / "in.geojsonl"), str(tmp_path / "out"), zoom=1, num_tiles=2, threshold=0)
+    cli.main(["info", str(tmp_path / "out")])
+    said = capsys.readouterr().out
+    assert "zoom_levels: [0, 1]" in said and "stats: True" in said
