@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scan import register_cache
 from .shared import stored
 
-HELD = 300_000  # entries of each half of a worker's tables
+HELD = 400_000  # entries of each half of a worker's two tables, about 200 bytes each
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
 SLACK = 32  # a bin with fewer free tokens is nearly full
@@ -39,13 +39,14 @@ SLACK = 32  # a bin with fewer free tokens is nearly full
 class _Recent:
     """A bounded table: entries not used while half of it filled anew are forgotten."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: dict = {}
         self.old: dict = {}
 
     def missing(self, keys: set) -> set:
         """The keys not held; the others are moved to the new half."""
-        if len(self.new) > HELD:
+        if len(self.new) > self.most:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
         absent = {k for k in keys if k not in new}
@@ -65,7 +66,7 @@ class WordEncoder:
     PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+").fullmatch
     LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = HELD):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -75,7 +76,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.pretokens = _Recent(), _Recent()
+        self.words, self.pretokens = _Recent(held), _Recent(held)
 
     def _learn(self, words: set[str]) -> None:
         """Puts the identifiers of new words into the table."""
@@ -111,7 +112,7 @@ class WordEncoder:
         return [b"".join(map(get, x)) for x in lists]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def _forget() -> bool:
@@ -123,10 +124,10 @@ def _forget() -> bool:
 register_cache(_forget)
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, held: int = HELD) -> WordEncoder:
+    if (path, held) not in _encoders:
+        _encoders[path, held] = WordEncoder(path, held)
+    return _encoders[path, held]
 
 
 def best_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -177,11 +178,11 @@ def _slices(texts: list[str], most: int = 1_000_000):
         yield texts[at:]
 
 
-def _tokenise_and_pack(path: str, capacity: int, end: int):
+def _tokenise_and_pack(path: str, capacity: int, end: int, held_words: int):
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode, base = encoder(path), TaskContext.get().partitionId() << 36
+        encode, base = encoder(path, held_words), TaskContext.get().partitionId() << 36
         ids, held, windows = [], [], 0
 
         def emit():
@@ -227,13 +228,14 @@ def _merge(capacity: int, depth: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", doc_id: str = "doc_id", held: int = HELD) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     path is the vocabulary file on each machine; `end` is appended to every document.
+    `held` bounds the tables of recurring words in a worker; the result does not depend on it.
     """
     id_type = dict(docs.dtypes)[doc_id]
-    pieces = stored(docs.select(doc_id, text).mapInArrow(_tokenise_and_pack(path, capacity, end), f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint"), "packed-pieces")
+    pieces = stored(docs.select(doc_id, text).mapInArrow(_tokenise_and_pack(path, capacity, end, held), f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint"), "packed-pieces")
     loose = pieces.where((F.col("offset") == 0) & (F.col("fill") <= capacity - SLACK)).select("bin", "fill")
     out, last, n = pieces.withColumn("sequence_id", F.col("bin")), 0, loose.count()
     for depth in range(1, 7):
