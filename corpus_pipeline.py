@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end token alone; a text longer than a sequence is cut into pieces.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), held=200_000)  # workers have held other tables before
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near dedup", near_duplicates), ("decontamination", benchmark), ("packing", pack)]
