@@ -6,9 +6,10 @@ items of their fill: rounds of a tree merge gather them from many tasks into eve
 packed by best fit again, until one group is left or merging no longer helps. Tasks hold piece
 lengths only, and rounds hold bins, never texts.
 
-Token identifiers come from the vocabulary file's own library. Words recur, so the identifiers of
-words and of lower-cased pretokens are kept in bounded tables; new pretokens go to the library in
-one call for many.
+Token identifiers come from the vocabulary file's own library. Arrow cuts a slice of texts into words
+and finds the distinct ones; only those are looked up, and NumPy lays their identifiers out by the
+places of the words. The identifiers of words and of lower-cased pretokens are kept in bounded tables;
+new pretokens go to the library in one call for many.
 
 Cases: a null or empty text is the single end identifier; a very long text is tokenised whole and cut
 into pieces; pieces of one length go in the order of their rows; rows that repeat an id are packed each;
@@ -23,6 +24,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from .scan import register_cache
 from .shared import stored
 
 HELD = 400_000  # entries of each half of a worker's two tables, about 200 bytes each
+SLICE = 8_000_000  # bytes of text encoded at a time
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
 SLACK = 32  # a bin with fewer free tokens is nearly full
@@ -102,14 +105,20 @@ class WordEncoder:
         for w, x in parts.items():
             held[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        absent: set[str] = set()
-        absent = self.words.missing(absent.union(*lists))
-        if absent:
+    def __call__(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The identifiers of all texts, one after another, and the place where each text's begin and the last's end."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if absent := self.words.missing(set(distinct)):
             self._learn(absent)
-        get = self.words.new.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        found = list(map(self.words.new.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = (np.cumsum(n) - n)[which], n[which]
+        ends = np.cumsum(n)
+        at = np.repeat(first - ends + n, n) + np.arange(n.sum())
+        return ids[at].tobytes(), np.append(0, ends)[lists.offsets.to_numpy()]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -167,15 +176,14 @@ def _packed(lengths: np.ndarray, ties: np.ndarray, capacity: int) -> tuple[np.nd
     return bin_, offset, np.array(fill, np.int64)[bin_]
 
 
-def _slices(texts: list[str], most: int = 1_000_000):
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held > most:
-            yield texts[at : i + 1]
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+def _slices(texts: pa.Array, most: int = SLICE):
+    """Consecutive texts of about `most` bytes; a longer text is not cut."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = done = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield texts.slice(at, to - at)
+        at, done = to, ends[to - 1]
 
 
 def _tokenise_and_pack(path: str, capacity: int, end: int, held_words: int):
@@ -196,10 +204,12 @@ def _tokenise_and_pack(path: str, capacity: int, end: int, held_words: int):
             return out
 
         for batch in batches:
-            texts, at, rows = [t or "" for t in batch.column(1).to_pylist()], 0, []
-            for part in _slices(texts):
-                for raw in encode(part):
-                    raw += closing
+            at, rows = 0, []
+            for part in _slices(pc.fill_null(batch.column(1), "")):
+                data, bounds = encode(part)
+                bounds = (4 * bounds).tolist()
+                for first, last in zip(bounds, bounds[1:]):
+                    raw = data[first:last] + closing
                     for piece, a in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[a : a + 4 * capacity]
                         held.append((piece, a // 4, len(cut) // 4, zlib.crc32(cut)))
