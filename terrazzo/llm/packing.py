@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import register_cache
+from .scan import register_cache, trim
 from .shared import stored
 
 HELD = 400_000  # entries of each half of a worker's two tables, about 200 bytes each
-SLICE = 8_000_000  # bytes of text encoded at a time
+SLICE = 4_000_000  # bytes of text encoded at a time
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
 SLACK = 32  # a bin with fewer free tokens is nearly full
@@ -117,7 +117,8 @@ class WordEncoder:
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, n = (np.cumsum(n) - n)[which], n[which]
         ends = np.cumsum(n)
-        at = np.repeat(first - ends + n, n) + np.arange(n.sum())
+        at = np.repeat(first - ends + n, n)
+        at += np.arange(len(at))
         return ids[at].tobytes(), np.append(0, ends)[lists.offsets.to_numpy()]
 
 
@@ -216,6 +217,7 @@ def _tokenise_and_pack(path: str, capacity: int, end: int, held_words: int):
                         rows.append(at)
                     at += 1
             ids.append(batch.column(0).take(pa.array(rows, pa.int64())))
+            trim()
             if len(held) >= WINDOW:
                 yield emit()
         if held:
