@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrazzo.functions.boxes import EPS, Box, area, clipped, contains, expansion, intersects, merged, overlaps
+from terrazzo.functions.boxes import EPS, Box, area, clipped, contains, expansion, intersects, is_empty, merged, overlaps
 
 MOST = 20_000
 Boxes = Sequence[tuple[int, float, float, float, float]]  # pid, xmin, ymin, xmax, ymax
@@ -64,13 +64,16 @@ def assign_smallest_area(features: DataFrame, boxes: Boxes, box: Box, into: str
     return features.withColumn(into, best["p"]).where(F.col(into).isNotNull())
 
 
-def overlapping_partitions(features: DataFrame, boxes: Boxes, box: Box, into: str = "partition_id") -> DataFrame:
-    """One row for each box that overlaps the feature's box (open); an empty box goes to the first."""
-    x0, y0, x1, y1 = box.columns()
+def overlapping_partitions(features: DataFrame, boxes: Boxes, box: Box, into: str = "partition_id", place_empty: bool = True) -> DataFrame:
+    """One row for each box that overlaps the feature's box (open).
+
+    An empty box goes to the first; without place_empty it is compared like any other, as a join does.
+    """
     every = _literal(boxes)
     hits = F.transform(F.filter(every, lambda b: overlaps(Box.of(b), box)), lambda b: b["pid"])
-    empty = (x1 <= x0) | (y1 <= y0)
-    return features.withColumn(into, F.explode(F.when(empty, F.array(F.element_at(every, 1)["pid"])).otherwise(hits)))
+    if place_empty:
+        hits = F.when(is_empty(box), F.array(F.element_at(every, 1)["pid"])).otherwise(hits)
+    return features.withColumn(into, F.explode(hits))
 
 
 def best_partition(features: DataFrame, boxes: Boxes, box: Box, bounds: Box, into: str = "partition_id") -> DataFrame:

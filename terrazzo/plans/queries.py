@@ -138,7 +138,7 @@ _OPEN = "s.xmax > b.xmin AND b.xmax > s.xmin AND s.ymax > b.ymin AND b.ymax > s.
 
 @register("overlap_partitions", f"SELECT s_suppkey, pid AS partition_id FROM ({SUPPLIER}) s JOIN {BOXES_SQL} ON {_OPEN}")
 def overlap_partitions(spark, sf_dir):
-    return assign.overlapping_partitions(rects(spark, sf_dir), BOXES, RECT()).select("s_suppkey", "partition_id")
+    return assign.overlapping_partitions(rects(spark, sf_dir), BOXES, RECT(), place_empty=False).select("s_suppkey", "partition_id")
 
 
 @register("overlap_best", f"""
