@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import Joined, mix, owner, release, shingles, text_slices, utf8
-from .shared import exchange, pack_counts, pack_keys, parts_by_shard, parts_for, partitions, places, remove, stored, text_bytes, unpack_counts, unpack_keys
+from .shared import exchange, pack_counts, pack_keys, parts_by_shard, parts_for, partitions, places, remove, sieved, stored, text_bytes, unpack_counts, unpack_keys
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4  # 24 bands of 4: a pair of similarity 0.8 is missed with probability 3e-6
@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     full = stored(full.select(F.col("key").alias("__key"), salts.alias("salts")), "full")
     buckets = stored(rows.join(full, rows.key == full["__key"]).select("rep", "key", "salts"), "buckets")
     remove(full)
-    texts = given.join(buckets.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi")
+    texts = sieved(given, "id", buckets, "rep").where("__may").drop("__may")  # most texts are no candidates and stay where they are
+    texts = texts.join(buckets.select(F.col("rep").alias("__rep")), F.col("id") == F.col("__rep"), "left_semi")
     texts = texts.join(repeats, F.col("id") == F.col("__id"), "left").where(F.col("__t").isNull() | (F.xxhash64("text") == F.col("__t")))
     texts = stored(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")
 
@@ -345,6 +346,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         remove(last, known, near)
         texts = _needed(texts, state)
 
+    about = sieved(about, "__id", state, "rep").where("__may").drop("__may")
     last, state = state, stored(state.join(about, F.col("rep") == F.col("__id")).drop("__id"), "state")
     remove(last)
     joined = links = None

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
+MOST_BITS = 1 << 24  # of a sieve: 262,144 rows of 64 bits on every executor
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,6 +86,20 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.select(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
 
 
+def sieved(rows: DataFrame, column: str, wanted: DataFrame, key: str, into: str = "__may") -> DataFrame:
+    """Adds whether an id of rows may stand in wanted[key]: true where it does, false for most others.
+
+    A bit for each hash goes to every executor, so that rows which a join would drop or leave as they
+    are need not be shuffled; the join on the others decides. There are four bits or more for each row of
+    wanted up to MOST_BITS in all; beyond that nothing is lost, but more of the others are true.
+    """
+    bits = min(MOST_BITS, max(64, 4 << wanted.count().bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(at(key).alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__at & 63 as int)))").alias("__bits"))
+    found = rows.withColumn("__at", at(column)).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("__word"), "left")
+    return found.withColumn(into, F.expr("coalesce(shiftright(__bits, cast(__at & 63 as int)) & 1 = 1, false)")).drop("__at", "__word", "__bits")
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of 64-bit keys; in their order where the keys are."""
     return (((keys >> _U(32)) * _U(shards)) >> _U(32)).astype(np.int64)

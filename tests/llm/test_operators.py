@@ -241,6 +241,47 @@ def test_near_duplicates_of_ids_that_repeat_with_other_texts(spark):
             assert {r["doc_id"] for r in got if r["kept"]} == {8, 9, 1 if len(given) > 6 else 3}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("most, few", [(1 << 24, 0.3), (64, 1)])  # with far too few bits nothing is lost either
+def test_ids_that_a_sieve_lets_through(spark, monkeypatch, kind, most, few):
+    from terrazzo.llm import shared
+
+    monkeypatch.setattr(shared, "MOST_BITS", most)
+    wanted = spark.range(0, 30_000, 10).select(F.col("id").cast(kind).alias("rep"))
+    table = spark.range(-5, 30_000).select(F.col("id").cast(kind).alias("k"), "id").union(spark.createDataFrame([(None, None)], f"k {kind}, id bigint"))
+    got = shared.sieved(table, "k", wanted, "rep")
+    assert got.columns == ["k", "id", "__may"]
+    may = {r["id"]: r["__may"] for r in got.collect()}
+    assert len(may) == 30_006 and all(may[i] for i in range(0, 30_000, 10)) and sum(may.values()) <= 3000 + few * 27_006
+    assert not any(r["__may"] for r in shared.sieved(table, "k", wanted.where("false"), "rep").collect())
+
+
+def test_near_dedup_shuffles_few_texts_without_copies(spark, tmp_path):
+    """Where tables are too large to broadcast, as they are on large inputs; two shuffles of all texts before."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(6)
+    texts = [" ".join(map("{:012x}".format, r.integers(0, 1 << 48, 3000).tolist())) for _ in range(300)]
+    table = [(i, t, "en") for i, t in enumerate([*texts, *(t + " more" for t in texts[:2]), texts[20], None])]
+    spark.createDataFrame(table, "doc_id bigint, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/in")
+    context, off = spark.sparkContext, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("near", "near dedup")
+        corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/in"), SF).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    out = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(out) == [x for x in table if x[0] < 300 or x[1] is None]
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("near")]
+    store = context._jsc.sc().statusStore()
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in {s for j in jobs for s in j.stageIds} if store.lastStageAttempt(s).status().toString() == "COMPLETE")
+    assert 0 < shuffled < 0.5 * sum(map(len, texts))  # 2.1 times before
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 90), (7, 7), (95, 100)]
     got = {r["a"]: r["b"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
