@@ -6,10 +6,11 @@ items of their fill: rounds of a tree merge gather them from many tasks into eve
 packed by best fit again, until one group is left or merging no longer helps. Tasks hold piece
 lengths only, and rounds hold bins, never texts.
 
-Token identifiers come from the vocabulary file's own library. Arrow cuts a slice of texts into words
-and finds the distinct ones; only those are looked up, and NumPy lays their identifiers out by the
-places of the words. The identifiers of words and of lower-cased pretokens are kept in bounded tables;
-new pretokens go to the library in one call for many.
+Token identifiers come from the vocabulary file's own library. NumPy lower-cases a slice of texts and cuts
+it into pretokens by tables of bytes, Arrow finds the distinct ones; only those are looked up, and NumPy
+lays their identifiers out by the places of the pretokens. The identifiers are kept in a bounded table;
+new pretokens go to the library in one call for many. A word with a character that the tables of bytes
+cannot tell is looked up whole.
 
 Cases: a null or empty text is the single end identifier; a very long text is tokenised whole and cut
 into pieces; pieces of one length go in the order of their rows; rows that repeat an id are packed each;
@@ -29,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import register_cache, trim
+from .scan import LOWER, register_cache, trim
 from .shared import stored
 
-HELD = 400_000  # entries of each half of a worker's two tables, about 200 bytes each
+HELD = 400_000  # entries of each half of a worker's table, about 200 bytes each
 SLICE = 4_000_000  # bytes of text encoded at a time
 WINDOW = 200_000  # pieces a task packs at a time
 GROUP = 50_000  # underfull bins a task merges at a time
@@ -47,17 +48,68 @@ class _Recent:
         self.new: dict = {}
         self.old: dict = {}
 
-    def missing(self, keys: set) -> set:
-        """The keys not held; the others are moved to the new half."""
+    def turn(self) -> None:
+        """Forgets the old half if the new one is full."""
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        absent = {k for k in keys if k not in new}
-        if old:
-            back = [k for k in absent if k in old]
-            new.update((k, old[k]) for k in back)
-            absent.difference_update(back)
-        return absent
+
+    def found(self, keys: list) -> list:
+        """The value of each key, which is in the new half then, or None."""
+        out = list(map(self.new.get, keys))
+        if self.old:
+            new, old = self.new, self.old
+            for i in [i for i, x in enumerate(out) if x is None]:
+                if (x := old.get(keys[i])) is not None:
+                    out[i] = new[keys[i]] = x
+        return out
+
+
+# What a byte is: white space between words, a letter, a digit, a mark, or one that the table cannot tell.
+_GAP, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[10, 32]] = _GAP
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[39, 60]] = _ODD  # an apostrophe may begin 's or 't, and < a special token
+
+
+def spans(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lower-cased pretokens of all texts, one after another, which of them are odd, and the place where each text's begin and the last's end.
+
+    A word with an odd character is one span as it stands; others are the letters \xc0 to \xff and ASCII but
+    for control characters, ' and <.
+    """
+    texts = texts.cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    kind, low = _KIND[raw], LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    tail = raw[lead + 1]
+    letter = (tail & 0xC0 == 0x80) & (tail != 0x97) & (tail != 0xB7)
+    lead, tail = lead[letter], tail[letter]
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead + 1] = np.where(tail < 0x9F, tail + 0x20, tail)
+    solid, begins = kind != _GAP, np.zeros(len(raw), bool)
+    begins[edges[edges < len(raw)]] = True
+    cut = kind == _DIGIT
+    cut |= begins
+    cut[1:] |= kind[1:] != kind[:-1]
+    strange = np.zeros(0, np.int64)
+    if len(odd := np.flatnonzero(kind == _ODD)):
+        begins[1:] |= ~solid[:-1]
+        begins &= solid
+        word = np.cumsum(begins, dtype=np.int32) - 1
+        whole = np.zeros(len(raw) and int(word[-1]) + 1, bool)
+        whole[word[odd]] = True
+        mask = whole[word] & solid
+        low[mask], cut[mask] = raw[mask], begins[mask]
+        strange = np.flatnonzero(mask & begins)
+    starts = np.flatnonzero(cut & solid)
+    data = low[solid]
+    offsets = np.append(np.flatnonzero(cut[solid]), len(data))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(starts, strange), np.searchsorted(starts, edges)
 
 
 class WordEncoder:
@@ -79,20 +131,13 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.pretokens = _Recent(held), _Recent(held)
+        self.words = _Recent(held)  # of pretokens and odd words: a pretoken is a word that is cut into itself
 
-    def _learn(self, words: set[str]) -> None:
-        """Puts the identifiers of new words into the table."""
-        plain, cut_word = self.PLAIN, self.split
-        parts = {w: cut_word(w.lower()) for w in words if plain(w) and "<|" not in w}
-        odd = [w for w in words if w not in parts]
-        if odd:
-            for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-                self.words.new[w] = np.array(e.ids, "<u4").tobytes()
-        fresh = sorted(self.pretokens.missing({p for x in parts.values() for p in x}))
-        known = self.pretokens.new
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+    def _learn(self, pretokens: list[str]) -> None:
+        """Puts the identifiers of new pretokens into the table."""
+        known = self.words.new
+        for at in range(0, len(pretokens), 20_000):
+            some = pretokens[at : at + 20_000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):
@@ -101,25 +146,43 @@ class WordEncoder:
             for p, b in zip(some, (4 * ends).tolist()):
                 known[p] = raw[a:b]
                 a = b
-        held = self.words.new
+
+    def _learn_odd(self, words: list[str]) -> None:
+        """Puts the identifiers of new words, in any characters, into the table."""
+        plain, cut_word, known = self.PLAIN, self.split, self.words.new
+        parts = {w: cut_word(w.lower()) for w in words if plain(w) and "<|" not in w}
+        odd = [w for w in words if w not in parts]
+        if odd:
+            for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        pieces = list({p for x in parts.values() for p in x})
+        self._learn([p for p, x in zip(pieces, self.words.found(pieces)) if x is None])
         for w, x in parts.items():
-            held[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+            if w not in known:
+                known[w] = b"".join([known[p] for p in x])
 
     def __call__(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
         """The identifiers of all texts, one after another, and the place where each text's begin and the last's end."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        words = lists.flatten().dictionary_encode()
-        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if absent := self.words.missing(set(distinct)):
-            self._learn(absent)
-        found = list(map(self.words.new.__getitem__, distinct))
+        parts, odd, bounds = spans(texts)
+        parts = parts.dictionary_encode()
+        distinct, which = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        self.words.turn()
+        found = self.words.found(distinct)
+        if absent := [i for i, x in enumerate(found) if x is None]:
+            strange = set(which[odd].tolist())
+            self._learn([distinct[i] for i in absent if i not in strange])
+            if strange:
+                self._learn_odd([distinct[i] for i in absent if i in strange])
+            known = self.words.new
+            for i in absent:
+                found[i] = known[distinct[i]]
         ids = np.frombuffer(b"".join(found), "<u4")
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, n = (np.cumsum(n) - n)[which], n[which]
         ends = np.cumsum(n)
         at = np.repeat(first - ends + n, n)
         at += np.arange(len(at))
-        return ids[at].tobytes(), np.append(0, ends)[lists.offsets.to_numpy()]
+        return ids[at].tobytes(), np.append(0, ends)[bounds]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
@@ -244,7 +307,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end: int =
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     path is the vocabulary file on each machine; `end` is appended to every document.
-    `held` bounds the tables of recurring words in a worker; the result does not depend on it.
+    `held` bounds the table of recurring words in a worker; the result does not depend on it.
     """
     id_type = dict(docs.dtypes)[doc_id]
     pieces = stored(docs.select(doc_id, text).mapInArrow(_tokenise_and_pack(path, capacity, end, held), f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint"), "packed-pieces")

@@ -505,6 +505,33 @@ def test_packing(spark, docs, odd, empty):
     assert (bins, offsets, fill) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 9], [10, 10])
 
 
+def test_packing_looks_up_pretokens_not_words():
+    import random
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+
+    def check(encode, texts, kind=pa.string()):
+        data, bounds = encode(pa.array(["one left out", *texts], kind)[1:])
+        ids = np.frombuffer(data, "<u4")
+        assert bounds[0] == 0 and bounds[-1] == len(ids)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    forms = [f"{a}{w}{b}" for w in ("étrange", "word", "àöþ") for w in (w, w.capitalize(), w.upper()) for a in ("", "(", "--") for b in ("", ",", ".", ");", "2026")]
+    check(encode, [" ".join(forms), "\n".join(forms)])
+    assert len(forms) == 135 and len(encode.words.new) == 3 + 5 + 3  # words in lower case, marks, digits
+    check(encode, ["", "don't L'été I'LL ''s", "a<b <| x<|endoftext|>y", "3×4÷2 Ⅷ ²", "e\u0301 İ Σς ſ", "é", "\xa0日本 語", "é", "\t\x00 \r", ""])
+    check(encode, [])
+    check(encode, ["", ""])
+    rnd, tight = random.Random(6), packing.WordEncoder(path, held=50)
+    letters = [*"abcXYZ019 \n  '<|>.,-!éÉßÀÿ×÷østreml", "<|endoftext|>", "\u0301", "Σ", "İ", "\xa0", "\xad", "日", "\t", "\x00", "\x7f", "ſ", "٣"]
+    for turn in range(40):
+        texts = ["".join(rnd.choices(letters, k=rnd.choice([0, 1, 2, 5, 30, 200]))) for _ in range(30)]
+        check(tight, texts, pa.large_string() if turn % 2 else pa.string())
+
+
 def test_token_counts(spark, docs, odd, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
